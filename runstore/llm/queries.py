@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _util, bpe, packing, quality_rules, sharding
+from . import _util, bpe, media_avi, packing, quality_fm, quality_rules, sharding, toxicity
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,11 +14,29 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
 
 
+def op4_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_avi.digests(_util.table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _util.table(spark, sf_dir, "documents")
+    machine = quality_fm.fit(docs, _util.table(spark, sf_dir, "labels"), modulus=4, held_out=2)
+    held_out = (_util.id_remainder("doc_id", 4) == 2).alias("held_out")
+    return quality_fm.score(docs, machine, ["doc_id"]).select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.assign(_util.table(spark, sf_dir, "documents"), 16)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _util.table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _util.table(spark, sf_dir, "labels"), modulus=5, held_out=0)
+    held_out = (_util.id_remainder("doc_id", 5) == 0).alias("held_out")
+    return toxicity.flag(toxicity.score(docs, model, ["doc_id"])).select("doc_id", held_out, "score", "predicted")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(_util.table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, ["doc_id"])
@@ -30,7 +48,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op6_sharding, op9_bpe, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_media_avi, op5_quality_fm, op6_sharding, op7_toxicity, op9_bpe, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
