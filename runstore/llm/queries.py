@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _util, bpe, dart_minhash, line_dedup, media_avi, packing, quality_fm, quality_rules, sharding, toxicity
+from . import _util, bpe, dart_minhash, line_dedup, lm_score, media_avi, packing, quality_fm, quality_rules, sharding, toxicity
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("_n_exact").alias("n_exact"), F.col("_n_near").alias("n_near"), F.length("_kept_text").cast("long").alias("kept_chars"), F.md5(F.col("_kept_text").cast("binary")).alias("kept_md5"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_util.table(spark, sf_dir, "documents"))
+
+
 def op4_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_avi.digests(_util.table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -57,7 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op4_media_avi, op5_quality_fm, op6_sharding, op7_toxicity, op8_dart_minhash, op9_bpe, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_lm_score, op4_media_avi, op5_quality_fm, op6_sharding, op7_toxicity, op8_dart_minhash, op9_bpe, op10_packing)}
 
 
 OP1_SQL = r"""
