@@ -6,9 +6,9 @@ into each by the cell's own hash, and a text keeps the darts below its weights.
 ``coordinates`` makes a signature that two texts share, per coordinate, with the probability of their weighted Jaccard
 similarity. Signatures are joined in bands and every link is verified exactly.
 
-Copies (equal shingle sets) are one class from the start. In a bucket each member is compared with a hub, a different
-one in each band, never with all others; only pairs of one bucket that are still in different components after that
-are compared too, so no link of a shared bucket is lost. Components are found by distributed label propagation.
+Copies (equal shingle sets) are one class from the start. In a bucket each member is compared with the bucket's most
+central one, not with all others; members that are still outside the bucket's largest component after that are
+compared with its members in blocks, so no link of a shared bucket is lost and pairs that are no links are never rows. Components are found by distributed label propagation.
 
 Defined results: texts without words are their own class; texts of one to four words are one shingle; a null id is
 left out; rows of one id and equal text share a class; an empty table gives no rows; extra columns are ignored.
@@ -36,6 +36,7 @@ class Near:
     similarity: float = 0.8
     bands: int = 24
     rows: int = 5
+    block: int = 256  # members of a bucket that are compared with as many others in one go
     broadcast_ids: int = 1_000_000  # up to so many ids are broadcast to fetch texts; beyond, the join shuffles
 
     @property
@@ -277,29 +278,100 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def expanded(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The weighted set as a plain set: an element of weight c is c different ones."""
+    if (counts == 1).all():
+        return hashes
+    turn = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    out = np.repeat(hashes, counts)
+    return np.where(turn > 0, mix(out + turn.astype(np.uint64) * _GOLD), out)
+
+
+def block_links(one: list[np.ndarray], two: list[np.ndarray], least: float) -> np.ndarray:
+    """Which of ``one`` (rows) and ``two`` (columns), plain sets, have at least this Jaccard similarity; exact."""
+    sizes = np.array([len(x) for x in one]), np.array([len(x) for x in two])
+    names, place = np.unique(np.concatenate([*one, *two]), return_inverse=True)
+    shared = np.zeros((len(one), len(two)))
+    row = np.repeat(np.arange(len(one) + len(two)), np.concatenate(sizes))
+    for low in range(0, len(names), 8192):  # dense counts of a slice of the elements at a time
+        here = (place >= low) & (place < low + 8192)
+        dense = np.zeros((len(one) + len(two), 8192), dtype=np.float32)
+        dense[row[here], place[here] - low] = 1
+        shared += dense[: len(one)] @ dense[len(one) :].T
+    return shared >= (least - 1e-12) * (sizes[0][:, None] + sizes[1][None, :] - shared)
+
+
+def _left_links(members: DataFrame, labels: DataFrame, shapes: DataFrame, near: Near) -> DataFrame:
+    """Links (a, b) of one bucket between different components.
+
+    Members outside a bucket's largest component are compared with all its members in blocks of at most about
+    ``near.block`` each side, which travel as blocks: pairs that are no links are never rows.
+    """
+    placed = members.select("bucket", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    placed = _util.save(placed, "placed")
+    parts = placed.groupBy("bucket", "label", "n").agg(F.count("*").alias("size"))
+    open_ = parts.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("big"), F.max("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1 and n > 2")
+    blocks = lambda n: F.ceil(n / F.lit(near.block)).cast("int")
+    open_ = open_.select("bucket", F.col("big.label").alias("big"), blocks(F.col("n") - F.col("big.size")).alias("ub"), blocks(F.col("n")).alias("mb"))
+    rows = placed.select("bucket", "rep", "label").join(open_, "bucket").withColumn("h", F.xxhash64("rep", F.lit("block")))
+    own = lambda n: F.pmod(F.col("h"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.filter("label <> big").select("bucket", own("ub").alias("u"), every("mb").alias("m"), F.lit(0).alias("side"), "rep", "label")
+    right = rows.select("bucket", every("ub").alias("u"), own("mb").alias("m"), F.lit(1).alias("side"), "rep", "label")
+    key = ["bucket", "u", "m"]
+    whole = left.unionByName(right).join(shapes.select("rep", F.col("shape.hashes").alias("hashes"), F.col("shape.counts").alias("counts")), "rep")
+    dealt = whole.select(*key, "side", "rep", "label", "hashes", "counts").repartition(*key).sortWithinPartitions(*key, "side", "rep")
+    least = near.similarity
+    _util.ship(members.sparkSession)
+
+    def links(group: list[tuple]) -> list[tuple[int, int]]:
+        one, two = [r for r in group if r[3] == 0], [r for r in group if r[3] == 1]
+        if not one or not two:
+            return []
+        sets = [[expanded(np.frombuffer(r[6], np.uint64), np.frombuffer(r[7], np.int32)) for r in side] for side in (one, two)]
+        found, seen = [], set()
+        for i, j in np.argwhere(block_links(*sets, least)).tolist():
+            (u, lu), (v, lv) = one[i][4:6], two[j][4:6]
+            if lu != lv and (u, lv) not in seen:  # one link to a component is enough
+                seen.add((u, lv))
+                found.append((min(u, v), max(u, v)))
+        return found
+
+    def run(batches):
+        group: list[tuple] = []
+        for whole in batches:
+            out = []
+            for at in range(0, whole.num_rows, 512):
+                part = whole.slice(at, 512)
+                for r in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                    if group and group[0][:3] != r[:3]:
+                        out += links(group)
+                        group = []
+                    group.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
+        out = links(group) if group else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", near: Near = Near()) -> DataFrame:
     """One row per document: ``id_col``, ``class_id`` (least id of the class), ``is_representative``, ``class_size``."""
     signed = _util.save(signature_rows(docs, id_col, near), "signatures")
     copies = signed.filter("d1 is not null").groupBy("d1", "d2").agg(F.min("_id").alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     copies = _util.save(copies, "copies")
     rows = copies.select(F.explode("bands").alias("bucket"), "rep", "weight")
-    shared = rows.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.min(F.struct(F.xxhash64("rep", "bucket"), "rep")).alias("hub")).filter("lo < hi")
-    members = _util.save(rows.join(shared.select("bucket", F.col("hub.rep").alias("hub")), "bucket"), "members")
+    shared = rows.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    members = _util.save(rows.join(shared.select("bucket", "n"), "bucket"), "members")
+    # A bucket's hub is its most central member: the one that meets most others in all its buckets together.
+    central = members.groupBy("rep").agg(F.sum("n").alias("score"), F.min("weight").alias("weight"))
+    hubs = members.select("bucket", "rep").join(central, "rep").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("rep")).alias("minus"))).alias("best"))
     shapes = _util.save(_shapes(docs, members.select("rep").distinct(), id_col, near), "shapes")
-    ordered = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    tested = _util.save(members.filter("rep <> hub").select(F.col("rep").alias("x"), F.col("hub").alias("y")).select(*ordered).distinct(), "pairs")
-    edges = _util.save(_verified(tested, shapes, near), "links")
+    pairs = members.select("bucket", "rep").join(hubs.select("bucket", (-F.col("best.minus")).alias("hub")), "bucket").filter("rep <> hub")
+    pairs = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    edges = _util.save(_verified(pairs, shapes, near), "links")
     labels = components(edges)
-
-    # What is left: pairs of a bucket in different components whose weights allow the similarity.
-    placed = members.select("bucket", "rep", "weight").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    open_ = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo < hi and n > 2")
-    left = _util.save(placed.join(open_.select("bucket"), "bucket"), "left")
-    one, two = (left.select("bucket", *[F.col(c).alias(f"{c}{i}") for c in ("rep", "weight", "label")]) for i in (1, 2))
-    fits = F.least("weight1", "weight2") >= F.lit(near.similarity - 1e-9) * F.greatest("weight1", "weight2")
-    more = one.join(two, "bucket").filter((F.col("rep1") < F.col("rep2")) & (F.col("label1") != F.col("label2")) & fits)
-    more = _util.save(more.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-    extra = _util.save(_verified(more, shapes, near), "links")
+    extra = _util.save(_left_links(members, labels, shapes, near), "links")
     if extra.limit(1).count():
         labels = components(edges.union(extra))
 
