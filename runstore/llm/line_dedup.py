@@ -32,8 +32,12 @@ class Lines:
     broadcast_lines: int = 500_000  # up to so many line places are broadcast to fetch texts; beyond, the join shuffles
 
 
-def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[ \t\r\f\x0B]+", " "))
+def normal(text: Column) -> Column:
+    """Lower case with single spaces between words, for a line or a whole text; lines still need trimming."""
+    low, odd = F.lower(text), F.contains(text, F.lit("  "))
+    for c in "\t\r\f\x0b":  # the expression is costly and most texts do not need it
+        odd = odd | F.contains(text, F.lit(c))
+    return F.when(odd, F.regexp_replace(low, r"[ \t\r\f\x0B]+", " ")).otherwise(low)
 
 
 def word_edit_at_most_one(a: Column, b: Column) -> Column:
@@ -58,9 +62,8 @@ def line_places(docs: DataFrame, id_col: str, lines: Lines) -> DataFrame:
     """Slim rows of all lines that count: place (``_id``, ``_no``), 128-bit key, words and half-line keys."""
     rows = (
         docs.filter(F.col(f"`{id_col}`").isNotNull() & F.col("text").isNotNull())
-        .select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("_no", "line"))
-        .select("_id", "_no", normal(F.col("line")).alias("line"))
-        .select("_id", "_no", "line", (F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1).alias("n"))
+        .select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.posexplode(F.transform(F.split(normal(F.col("text").cast("string")), "\n"), F.trim)).alias("_no", "line"))
+        .select("_id", "_no", "line", (F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1).alias("n"))
         .filter((F.col("line") != "") & (F.col("n") >= lines.min_words))
     )
 
@@ -83,7 +86,7 @@ def _near_lines(docs: DataFrame, firsts: DataFrame, id_col: str, lines: Lines) -
         per = F.broadcast(per)
     split = docs.join(per, F.col(f"`{id_col}`").cast("long") == F.col("_of")).select("_of", "found", F.split(F.col("text").cast("string"), "\n").alias("parts"))
     got = split.select(F.col("_of").alias("_id"), F.explode(F.expr("transform(found, x -> named_struct('_no', x._no, 'h', x.h, 'g', x.g, 'line', get(parts, x._no)))")).alias("x"))
-    made = got.select("_id", "x._no", "x.h", "x.g", normal(F.col("x.line")).alias("line")).dropDuplicates(["_id", "_no"])
+    made = got.select("_id", "x._no", "x.h", "x.g", F.trim(normal(F.col("x.line"))).alias("line")).dropDuplicates(["_id", "_no"])
     return _util.save(made, "near-lines")
 
 
@@ -123,10 +126,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", lines: Lines = Lines(
     near = _util.save(near_links(_near_lines(docs, firsts.select("h", "g", "_id", "_no", "halves"), id_col, lines)).select("h", "g"), "near-links")
     again = firsts.filter("again").select("h", "g", F.col("_id").alias("_i1"), F.col("_no").alias("_n1"))
     hit = again.join(near.withColumn("near", F.lit(True)), ["h", "g"], "full_outer")
-    going = places.select("_id", "_no", "h", "g").distinct().join(hit, ["h", "g"]).withColumn("exact", F.coalesce((F.col("_id") != F.col("_i1")) | (F.col("_no") != F.col("_n1")), F.lit(False)))
+    going = places.select("_id", "_no", "h", "g").join(hit, ["h", "g"]).withColumn("exact", F.coalesce((F.col("_id") != F.col("_i1")) | (F.col("_no") != F.col("_n1")), F.lit(False)))
     going = going.filter("exact or near").select("_id", "_no", "exact")
     return going.groupBy("_id").agg(
-        F.collect_list(F.when(F.col("exact"), F.col("_no"))).alias("exact"), F.collect_list(F.when(~F.col("exact"), F.col("_no"))).alias("near")
+        F.collect_set(F.when(F.col("exact"), F.col("_no"))).alias("exact"), F.collect_set(F.when(~F.col("exact"), F.col("_no"))).alias("near")
     )
 
 
@@ -150,6 +153,6 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", lines: Lines = Lines()) ->
     """
     made = dedup(docs, id_col, lines)
     changed = F.col("_n_exact") + F.col("_n_near") > 0
-    made = made.filter(~(changed & (normal(F.replace(F.col("_kept_text"), F.lit("\n"), F.lit(" "))) == "")))
+    made = made.filter(~(changed & (F.trim(normal(F.replace(F.col("_kept_text"), F.lit("\n"), F.lit(" ")))) == "")))
     new = {"text": F.col("_kept_text")} | ({"n_chars": F.when(changed, F.length("_kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
     return made.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
