@@ -136,7 +136,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", lines: Lines = Lines(
 def dedup(docs: DataFrame, id_col: str = "doc_id", lines: Lines = Lines()) -> DataFrame:
     """All rows and columns of ``docs`` with ``_kept_text``, ``_n_exact``, ``_n_near``."""
     gone = _util.save(dropped_lines(docs, id_col, lines), "gone").withColumnRenamed("_id", "_gone_id")
-    joined = docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone_id"), "left")
+    # Many documents lose lines, so this side grows with the corpus: never a broadcast, whatever its size here.
+    joined = docs.join(gone.hint("merge"), F.col(f"`{id_col}`").cast("long") == F.col("_gone_id"), "left")
     # array_except and transform over indexes keep this linear in the number of lines.
     parts = joined.withColumn("_parts", F.when(F.col("_gone_id").isNotNull(), F.split(F.col("text").cast("string"), "\n")))
     kept = F.expr("array_except(sequence(0, size(_parts) - 1), concat(exact, near))")
