@@ -128,7 +128,7 @@ def judge(docs: DataFrame, keep: list[str], host: str = "source", rules: Rules =
         joined = measured.join(F.broadcast(rates), F.col(f"`{host}`").eqNullSafe(F.col("_host")), "left")
     else:  # one host may hold a third of the rows: spread each host's rows over several keys
         left = measured.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in keep]), F.lit(rules.salts)))
-        right = rates.select("*", F.explode(F.sequence(F.lit(0), F.lit(rules.salts - 1))).cast("long").alias("_salt_r"))
+        right = rates.select("*", F.explode(F.expr(f"sequence(0L, {rules.salts - 1}L)")).alias("_salt_r"))
         joined = left.join(right, F.col(f"`{host}`").eqNullSafe(F.col("_host")) & (F.col("_salt") == F.col("_salt_r")), "left")
     verdicts = {c: F.col(f"_rule_{c}") for c in _MEASURES} | {
         "base_failed": F.col("_rule_base_failed"), "rule_failed": F.col("_rule_failed"),
