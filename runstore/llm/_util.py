@@ -101,6 +101,7 @@ def map_texts(
                 batch = whole.slice(at, 1024)
                 made = fn(batch.column(len(kept)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], names=[f"c{i}" for i in range(len(names))])
+        pa.default_memory_pool().release_unused()  # the worker stays for later tasks
 
     plain = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(schema.fields)])
     return work.mapInArrow(run, plain).toDF(*names)

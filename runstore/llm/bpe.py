@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from . import _util
 
 BUCKETS = (4, 8, 12, 16, 24, 32, 48, 64, 128, 256, 512, 1024, 2048)
-MEMORY = 400_000  # parts remembered by a worker
+MEMORY = 250_000  # parts remembered by a worker
 NONE = np.int64(1 << 40)
 
 

@@ -67,7 +67,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    MEMORY = 600_000
+    MEMORY = 300_000
 
     def __init__(self, words: int):
         self.words, self.memory = words, {}

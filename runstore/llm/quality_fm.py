@@ -74,7 +74,7 @@ def _bin(stats: np.ndarray) -> np.ndarray:
 class Features:
     """Sparse inputs of one text: slots and values."""
 
-    MEMORY = 500_000
+    MEMORY = 200_000
 
     def __init__(self, word_slots: int):
         self.word_slots, self.memory = word_slots, {}
@@ -203,6 +203,7 @@ def score(docs: DataFrame, machine: Machine, keep: list[str], s: Settings = Sett
                 b = whole.slice(at, 1024)
                 got = [m.score(*features(t, n)) for t, n in zip(b.column(kept).to_pylist(), b.column(kept + 1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(got, type=pa.float64())], names=[f.name for f in plain.fields])
+        pa.default_memory_pool().release_unused()
 
     return work.select(*inputs).mapInArrow(run, plain).toDF(*keep, name)
 

@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0,
 class Scorer:
     """Scores of texts, with the log odds of each distinct word kept (bounded; it only saves time)."""
 
-    MEMORY = 600_000
+    MEMORY = 300_000
 
     def __init__(self, gram_logits: np.ndarray, offset: float, s: Settings):
         self.gram_logits, self.offset, self.s, self.memory = gram_logits, offset, s, {}
