@@ -25,6 +25,7 @@ from . import _util
 
 BUCKETS = (4, 8, 12, 16, 24, 32, 48, 64, 128, 256, 512, 1024, 2048)
 MEMORY = 250_000  # parts remembered by a worker
+GROUP = 1_500_000  # characters of text whose new parts are merged together
 NONE = np.int64(1 << 40)
 
 
@@ -85,11 +86,11 @@ class Codec:
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         self.memory: dict[str, tuple[int, str, bytes]] = {}
 
-    def merge_matrix(self, parts: list[bytes], width: int) -> list[np.ndarray]:
+    def merge_matrix(self, parts: list[bytes], width: int) -> list[list[int]]:
         rows = len(parts)
-        ids = np.full((rows, width), -1, dtype=np.int64)
-        for i, p in enumerate(parts):
-            ids[i, : len(p)] = self.byte_ids[np.frombuffer(p, dtype=np.uint8)]
+        raw = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in parts]), dtype=np.uint8).reshape(rows, width)
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=rows)
+        ids = np.where(np.arange(width) < sizes[:, None], self.byte_ids[raw], -1)
         done: list = [None] * rows
         alive = np.arange(rows)
         while len(alive):
@@ -97,8 +98,10 @@ class Codec:
             at = best.argmin(axis=1)  # the first of equal ranks
             rank = best[np.arange(len(alive)), at]
             stop = rank == NONE
-            for i in np.nonzero(stop)[0]:
-                done[alive[i]] = ids[i][ids[i] >= 0].copy()
+            if stop.any():
+                ended = ids[stop]
+                for k, row, n in zip(alive[stop].tolist(), ended.tolist(), (ended >= 0).sum(axis=1).tolist(), strict=True):
+                    done[k] = row[:n]
             go = ~stop
             ids, at, rank, alive = ids[go], at[go], rank[go], alive[go]
             if not len(alive):
@@ -109,7 +112,7 @@ class Codec:
             ids = np.take_along_axis(ids, source, axis=1)
         return done
 
-    def merge_long(self, part: bytes) -> np.ndarray:
+    def merge_long(self, part: bytes) -> list[int]:
         """The same merges for a part beyond the buckets, by a heap over linked tokens."""
         ids = self.byte_ids[np.frombuffer(part, dtype=np.uint8)].tolist()
         n = len(ids)
@@ -128,16 +131,16 @@ class Codec:
             for x, y in ((before[i], i), (i, after[i])):
                 if x >= 0 and y < n and (r := self.ranks.get(token[x] + token[y])) is not None:
                     heapq.heappush(heap, (r, x, ids[x], ids[y]))
-        return np.array([i for i in ids if i >= 0], dtype=np.int64)
+        return [i for i in ids if i >= 0]
 
-    def encode_parts(self, parts: list[bytes]) -> list[np.ndarray]:
+    def encode_parts(self, parts: list[bytes]) -> list[list[int]]:
         """Token ids of every part, in order."""
         out: list = [None] * len(parts)
         by: dict[int, list[int]] = {}
         for i, p in enumerate(parts):
             whole = self.ranks.get(p)  # as the tokenizer does, before any merge
             if whole is not None:
-                out[i] = np.array([whole], dtype=np.int64)
+                out[i] = [whole]
             elif len(p) > BUCKETS[-1]:
                 out[i] = self.merge_long(p)
             else:
@@ -156,25 +159,36 @@ class Codec:
             self.memory.clear()
             new = sorted(parts)
         for p, ids in zip(new, self.encode_parts([p.encode() for p in new]), strict=True):
-            listed = ids.tolist()
-            self.memory[p] = len(listed), ",".join(map(str, listed)), b"".join([self.bytes_of[i] for i in listed])
+            self.memory[p] = len(ids), ",".join(map(str, ids)), self.decode(ids)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids in self.encode_parts([p.encode() for p in self.find_all(text)]) for i in ids]
+        return [i for ids in self.encode_parts([p.encode() for p in self.find_all(text)]) for i in ids]
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(self.bytes_of[i] for i in ids)
-
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Token count, SHA-256 of the decimal ids joined by commas, SHA-256 of the decoded bytes."""
-        found = self.find_all(text)
-        self.learn(set(found))
-        got = [self.memory[p] for p in found]
-        return (
-            sum([g[0] for g in got]),
-            hashlib.sha256(",".join([g[1] for g in got]).encode()).hexdigest(),
-            hashlib.sha256(b"".join([g[2] for g in got])).hexdigest(),
-        )
+        return b"".join([self.bytes_of[i] for i in ids])
+
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Of each text: token count, SHA-256 of the decimal ids joined by commas, SHA-256 of the decoded bytes.
+
+        The new parts of several texts are merged together, as large matrices cost less for each row.
+        """
+        out: list[tuple[int, str, str]] = []
+        at = 0
+        while at < len(texts):
+            found, size = [], 0
+            while at < len(texts) and (not found or size < GROUP):
+                found.append(self.find_all(texts[at]))
+                size += len(texts[at])
+                at += 1
+            self.learn(set().union(*found))
+            for parts in found:
+                got = [self.memory[p] for p in parts]
+                out.append((
+                    sum([g[0] for g in got]),
+                    hashlib.sha256(",".join([g[1] for g in got]).encode()).hexdigest(),
+                    hashlib.sha256(b"".join([g[2] for g in got])).hexdigest(),
+                ))
+        return out
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -220,7 +234,7 @@ def digests(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFr
 
     def run(texts: list) -> list[pa.Array]:
         c = codec(path, pattern)
-        rows = [c.digest(t or "") for t in texts]
+        rows = c.digests([t or "" for t in texts])
         return [pa.array([r[0] for r in rows], type=pa.int64()), *(pa.array([r[i] for r in rows], type=pa.string()) for i in (1, 2))]
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
