@@ -8,16 +8,26 @@ from pyspark.sql import functions as F
 from . import _util
 
 
+def _training_rows(labels: DataFrame, label: str, modulus: int, held_out: int, id_col: str) -> DataFrame:
+    return (
+        labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y"))
+        .filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & (_util.id_remainder("id", modulus) != held_out))
+        .groupBy("id").agg(F.max("y").alias("y"))
+    )
+
+
+def label_rate(labels: DataFrame, label: str, modulus: int, held_out: int, id_col: str = "doc_id") -> float:
+    """The share of ones among all labels that may be learnt from; one half without any."""
+    rate = _training_rows(labels, label, modulus, held_out, id_col).agg(F.avg("y")).first()[0]
+    return 0.5 if rate is None else float(rate)
+
+
 def sample_labels(labels: DataFrame, label: str, modulus: int, held_out: int, per_class: int, id_col: str = "doc_id") -> list[tuple[int, int]]:
     """At most ``per_class`` (id, label) of each class whose id's remainder is not ``held_out``, chosen by a hash of the id.
 
     Rows with a null id or label are left out. An id with contradicting labels counts once, with the larger.
     """
-    rows = (
-        labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y"))
-        .filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & (_util.id_remainder("id", modulus) != held_out))
-        .groupBy("id").agg(F.max("y").alias("y"))
-    )
+    rows = _training_rows(labels, label, modulus, held_out, id_col)
     found = []
     for y in (0, 1):
         found += rows.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class).collect()

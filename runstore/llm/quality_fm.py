@@ -166,7 +166,7 @@ def _with_length(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, s: Settings = Settings()) -> Machine:
     """Learn ``labels.quality`` from a bounded sample whose id remainder is not ``held_out``."""
     wanted = dict(_learn.sample_labels(labels, "quality", modulus, held_out, s.per_class))
-    rate = labels.filter(F.col("quality").isin(0, 1) & (_util.id_remainder("doc_id", modulus) != held_out)).agg(F.avg(F.col("quality").cast("double"))).first()[0]
+    rate = _learn.label_rate(labels, "quality", modulus, held_out)
     features = Features(s.word_slots)
     docs = _with_length(docs)
     _util.ship(docs.sparkSession)
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2,
     some = _learn.texts_of(docs, list(wanted)).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("n_chars").cast("long"))
     got = sorted((r.id, bytes(r.slots), bytes(r.x)) for r in some.mapInArrow(run, "id long, slots binary, x binary").collect())
     rows = [(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(np.float64)) for _, a, x in got]
-    return train(rows, np.array([wanted[i] for i, _, _ in got], dtype=np.float64), features.size, 0.5 if rate is None else float(rate), s)
+    return train(rows, np.array([wanted[i] for i, _, _ in got], dtype=np.float64), features.size, rate, s)
 
 
 def score(docs: DataFrame, machine: Machine, keep: list[str], s: Settings = Settings(), name: str = "score") -> DataFrame:

@@ -2,7 +2,8 @@
 
 A word's vector is the mean of the embeddings of its hashed character n-grams, a passage's vector the mean of its
 words' vectors, and a linear softmax turns it into a probability. A text's score is that of its most toxic passage
-(windows of ``window`` words at half steps, over the whole text), so length does not thin out what a passage says.
+(windows of ``window`` words at half steps, over the whole text), so length does not thin out what a passage says. A
+word that also stands less than a window before adds nothing: a harmless word said over and over stays harmless.
 Unseen misspellings share n-grams with the words they come from.
 
 Trained on the driver on at most ``per_class`` documents of each label; applied to every row by executors. Defined
@@ -32,10 +33,10 @@ class Settings:
     low: int = 3
     high: int = 5
     window: int = 16
-    rounds: int = 24
-    whole_rounds: int = 5  # the first rounds average whole texts
+    rounds: int = 32
+    whole_rounds: int = 12  # the first rounds average whole texts
     batch: int = 16
-    rate: float = 8.0
+    rate: float = 16.0
     decay: float = 0.01
     balance: float = 0.25  # 0: each text counts alike, 1: each class does
     min_documents: int = 5
@@ -86,6 +87,14 @@ def passages(n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, starts + window
 
 
+def fresh(ids: np.ndarray, window: int) -> np.ndarray:
+    """Whether the same word does not stand less than ``window`` words before; every word's first place is fresh."""
+    made = np.ones(len(ids), dtype=bool)
+    order = np.argsort(ids, kind="stable")
+    made[order[1:]] = (ids[order][1:] != ids[order][:-1]) | (np.diff(order) >= window)
+    return made
+
+
 def best_passage(word_logits: np.ndarray, window: int) -> tuple[int, int, float]:
     """Start, end and mean of the window with the greatest mean."""
     if not len(word_logits):
@@ -127,6 +136,7 @@ def train(texts: list[str], labels: np.ndarray, rate_of_ones: float, s: Settings
         return model
     vocabulary: dict[str, int] = {}
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t, s)], dtype=np.int64) for t in texts]
+    new = [fresh(d, s.window) for d in docs]
     flat, lens = bags(list(vocabulary), s)
     starts = np.cumsum(lens) - lens
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())) ** s.balance
@@ -147,12 +157,14 @@ def train(texts: list[str], labels: np.ndarray, rate_of_ones: float, s: Settings
             some = [i for i in order[k : k + s.batch] if len(docs[i])]
             if not some:
                 continue
-            lists = [docs[i] if whole else docs[i][slice(*best_passage(logits[docs[i]], s.window)[:2])] for i in some]
+            spans = [slice(None) if whole else slice(*best_passage(logits[docs[i]] * new[i], s.window)[:2]) for i in some]
+            lists = [np.unique(docs[i][a]) for i, a in zip(some, spans, strict=True)]
             y, sizes = labels[some].astype(int), np.array([len(x) for x in lists])
+            total = sizes if whole else np.array([len(docs[i][a]) for i, a in zip(some, spans, strict=True)])
             ids = np.concatenate(lists)
             number = lens[ids]
             grams = flat[np.repeat(starts[ids] - (np.cumsum(number) - number), number) + np.arange(number.sum())]
-            share = np.repeat(np.repeat(1.0 / sizes, sizes) / number, number)
+            share = np.repeat(np.repeat(1.0 / total, sizes) / number, number)
             edges = np.concatenate([[0], np.cumsum(np.add.reduceat(number, np.cumsum(sizes) - sizes))[:-1]])
             vec = np.add.reduceat(model.grams[grams] * share[:, None], edges, axis=0)
             z = vec @ model.softmax + model.bias
@@ -166,6 +178,10 @@ def train(texts: list[str], labels: np.ndarray, rate_of_ones: float, s: Settings
             model.bias -= rate * 0.02 * p.sum(axis=0) / len(y)
             np.subtract.at(model.grams, grams, rate * pull)
         model.grams *= 1 - s.decay
+    # The sample has another share of ones than the labels, and classes were weighted: the bias returns to their share.
+    odds = lambda p: np.log(p / (1 - p))
+    mean = labels.mean()
+    model.bias[1] += odds(np.clip(rate_of_ones, 0.01, 0.99)) - (1 - s.balance) * odds(mean)
     return model
 
 
@@ -174,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0,
     wanted = dict(_learn.sample_labels(labels, "toxic", modulus, held_out, s.per_class))
     got = sorted((r.doc_id, r.text or "") for r in _learn.texts_of(docs, list(wanted)).select("doc_id", "text").collect())
     y = np.array([wanted[i] for i, _ in got], dtype=np.int64)
-    return train([t for _, t in got], y, float(y.mean()) if len(y) else 0.5, s)
+    return train([t for _, t in got], y, _learn.label_rate(labels, "toxic", modulus, held_out), s)
 
 
 class Scorer:
@@ -191,6 +207,8 @@ class Scorer:
             slots, lens = bags(new, self.s)
             memory.update(zip(new, (np.add.reduceat(self.gram_logits[slots], np.cumsum(lens) - lens) / lens).tolist(), strict=True))
         logits = np.fromiter(map(memory.__getitem__, words), dtype=np.float64, count=len(words))
+        place: dict[str, int] = {}
+        logits *= fresh(np.fromiter((place.setdefault(w, len(place)) for w in words), dtype=np.int64, count=len(words)), self.s.window)
         if len(memory) > self.MEMORY:
             memory.clear()
         _, _, mean = best_passage(logits, self.s.window)

@@ -74,6 +74,19 @@ def test_toxicity_catches_words_anywhere_and_misspellings():
     assert 0 <= score("") <= 1 and 0 <= score("x" * 500) <= 1
 
 
+def test_repeated_words_count_once_in_a_window():
+    assert toxicity.fresh(np.array([1, 1, 2, 1, 3, 3, 1]), 3).tolist() == [True, False, True, False, True, False, True]
+    assert toxicity.fresh(np.zeros(0, dtype=np.int64), 3).tolist() == []
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    texts = [" ".join([word() for _ in range(60)] + ["zonkers"] * (i % 3 == 0)) for i in range(240)]
+    y = np.array([int(i % 3 == 0) for i in range(240)])
+    models = [toxicity.train(texts, y, rate) for rate in (1 / 3, 0.05)]
+    score = toxicity.Scorer(models[0].gram_logits(), models[0].offset, toxicity.Settings())
+    assert max(score(" ".join([w] * 40)) for w in texts[1].split()[:30]) < 0.5 < score(texts[0])
+    assert models[1].offset < models[0].offset  # the labels' share of ones, not the sample's
+
+
 def test_bags_hold_every_ngram():
     s = toxicity.Settings()
     flat, lens = toxicity.bags(["ab", "abcd", "!!"], s)
