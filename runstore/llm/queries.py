@@ -133,6 +133,48 @@ SELECT doc_id, coalesce(n_exact, 0)::BIGINT AS n_exact, coalesce(n_near, 0)::BIG
 FROM documents LEFT JOIN k USING (doc_id)
 """
 
+# The checksum is taken byte by byte; its table is made from the polynomial.
+OP6_SQL = r"""
+WITH k AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)
+), b AS (
+  SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes
+  FROM documents
+), c AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM b, k
+), s AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto, sum(size) OVER ()::BIGINT AS total FROM c
+), t AS (
+  SELECT *, least(15, (2 * upto - size) * 16 // (2 * total))::INT AS shard FROM s
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, NULL::INT AS grown_shard FROM t
+"""
+
+# All pairs that share a shingle, with no banding: what the signatures must find.
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\s]+') AS ws FROM documents WHERE doc_id IS NOT NULL
+), g AS (
+  SELECT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 3, 2)), lambda i: array_to_string(ws[i:i + 4], ' '))) AS sh FROM w WHERE len(ws) > 0
+), c AS (
+  SELECT doc_id, sh, count(*) AS n FROM g GROUP BY doc_id, sh
+), z AS (
+  SELECT doc_id, sum(n) AS n FROM c GROUP BY doc_id
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS both_ FROM c x JOIN c y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE both_ >= 0.8 * (x.n + y.n - both_)
+), u AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r(doc_id, other) AS (
+  SELECT DISTINCT doc_id, doc_id FROM w UNION SELECT r.doc_id, u.b FROM r JOIN u ON r.other = u.a
+), k AS (
+  SELECT doc_id, min(other) AS class_id FROM r GROUP BY doc_id
+)
+SELECT doc_id, class_id, doc_id = class_id AS is_representative, count(*) OVER (PARTITION BY class_id) AS class_size FROM k
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op6_sharding": OP6_SQL, "op8_dart_minhash": OP8_SQL}

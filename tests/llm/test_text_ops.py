@@ -241,7 +241,7 @@ def test_queries_against_sql(spark, name):
     got, want = queries.queries()[name](spark, str(DATA)).toPandas(), con.sql(queries.oracle_sql()[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    flat = lambda d: d[columns].astype(str).sort_values(columns).reset_index(drop=True)
+    flat = lambda d: d[columns].astype(object).where(d[columns].notna(), None).astype(str).sort_values(columns).reset_index(drop=True)
     assert flat(got).equals(flat(want))
 
 
