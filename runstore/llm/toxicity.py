@@ -148,6 +148,7 @@ def train(texts: list[str], labels: np.ndarray, rate_of_ones: float, s: Settings
         seen[np.unique(flat[np.repeat(starts[words] - (np.cumsum(number) - number), number) + np.arange(number.sum())])] += 1
     model.grams[seen < s.min_documents] = 0
     pulled = (seen >= s.min_documents).astype(np.float64)
+    cells = model.grams.reshape(-1)  # the same memory
     for turn in range(s.rounds):
         whole = turn < s.whole_rounds
         logits = np.add.reduceat(model.gram_logits()[flat], starts) / lens if len(flat) else np.zeros(0)
@@ -176,7 +177,8 @@ def train(texts: list[str], labels: np.ndarray, rate_of_ones: float, s: Settings
             pull = np.repeat(p @ model.softmax.T, np.diff(np.append(edges, len(grams))), axis=0) * (share * pulled[grams])[:, None]
             model.softmax -= rate * 0.02 * (vec.T @ p) / len(y)
             model.bias -= rate * 0.02 * p.sum(axis=0) / len(y)
-            np.subtract.at(model.grams, grams, rate * pull)
+            # one flat index for each number: numpy adds up single numbers much faster than rows
+            np.subtract.at(cells, (grams[:, None] * s.width + np.arange(s.width)).ravel(), (rate * pull).ravel())
         model.grams *= 1 - s.decay
     # The sample has another share of ones than the labels, and classes were weighted: the bias returns to their share.
     odds = lambda p: np.log(p / (1 - p))
