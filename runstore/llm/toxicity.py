@@ -177,8 +177,9 @@ def train(texts: list[str], labels: np.ndarray, rate_of_ones: float, s: Settings
             pull = np.repeat(p @ model.softmax.T, np.diff(np.append(edges, len(grams))), axis=0) * (share * pulled[grams])[:, None]
             model.softmax -= rate * 0.02 * (vec.T @ p) / len(y)
             model.bias -= rate * 0.02 * p.sum(axis=0) / len(y)
-            # one flat index for each number: numpy adds up single numbers much faster than rows
-            np.subtract.at(cells, (grams[:, None] * s.width + np.arange(s.width)).ravel(), (rate * pull).ravel())
+            for a in range(0, len(grams), 1 << 16):  # by flat index, which numpy adds up much faster than rows
+                part = slice(a, a + (1 << 16))
+                np.subtract.at(cells, (grams[part, None] * s.width + np.arange(s.width)).ravel(), (rate * pull[part]).ravel())
         model.grams *= 1 - s.decay
     # The sample has another share of ones than the labels, and classes were weighted: the bias returns to their share.
     odds = lambda p: np.log(p / (1 - p))
