@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
+#: Bytes of an Arrow batch between the JVM and a Python worker: both hold a few of them at once, outside the JVM's heap.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +61,12 @@ def release(spark: SparkSession) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's modules to the Python workers, once for each application."""
+    """Make the session ready for Python workers: the package's modules, sent once for each application, and small batches.
+
+    Long texts fill a batch by bytes long before they do by rows. A smaller bound that the session has already stays.
+    """
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_SETTING)) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     key = f"shipped {spark.sparkContext.applicationId}"
     if key not in _OWN:
         package = Path(__file__).resolve().parent.parent

@@ -250,3 +250,19 @@ def test_saved_tables_and_remainders(spark):
     assert saved.count() == 5
     _util.drop(saved)
     assert spark.range(3).select(_util.id_remainder("id", 7).alias("r")).collect() == [(zlib.crc32(str(i).encode()) % 7,) for i in range(3)]
+
+
+def test_batches_are_bounded_by_bytes_and_a_smaller_bound_stays(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        _util.ship(spark)
+        assert int(spark.conf.get(key)) == _util.BATCH_BYTES
+        spark.conf.set(key, "1m")
+        rows = docs(spark, ["x" * 3_000_000, None, ""])  # a row beyond the bound still travels whole
+        found = quality_rules.document_measures(rows, ["doc_id"]).select("doc_id", "_rule_word_chars").collect()
+        assert spark.conf.get(key) == "1m"
+        assert sorted(map(tuple, found)) == [(0, 3_000_000), (1, 0), (2, 0)]
+    finally:
+        spark.conf.set(key, before)
