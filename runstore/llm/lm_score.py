@@ -129,10 +129,9 @@ def sweeps(words: np.ndarray, starts: np.ndarray, contexts: np.ndarray, counts:
 
 
 def frequent_words(docs: DataFrame, m: Model) -> list[bytes]:
-    """Words with at least ``context_share`` of the training tokens, counted where they have that share locally.
+    """Words with at least ``context_share`` of the training tokens, by their counts over all of them.
 
-    A word with the share in the corpus has it in some part; sums over such parts are no more than true counts, so
-    there are at most 1 / share of them. The list is bounded and goes to the driver.
+    Every word's count goes to Spark's sum; only the words found, at most 1 / share, go to the driver.
     """
     _util.ship(docs.sparkSession)
 
@@ -141,7 +140,7 @@ def frequent_words(docs: DataFrame, m: Model) -> list[bytes]:
         total = 0
 
         def out():
-            rows = [(w, n) for w, n in counts.items() if n >= m.context_share * total]
+            rows = list(counts.items())
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows] + [None], type=pa.binary()), pa.array([r[1] for r in rows] + [total], type=pa.int64())], names=["w", "n"])
 
         for whole in batches:

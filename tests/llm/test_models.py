@@ -178,6 +178,16 @@ def test_language_model_base_is_exact_and_model_sums_to_one(spark):
     assert lm_score.score(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_frequent_words_are_counted_over_all_parts(spark):
+    """x has a tenth of all training tokens, but not of the first part's."""
+    m = lm_score.Model(context_share=0.1)
+    used = [i for i in range(40) if not lm_score.is_held_out(i, m)][:24]
+    rows = [(i, " ".join(["x"] * (1 if k < 12 else 2) + [f"w{i}v{j}" for j in range(18 if k < 12 else 2)])) for k, i in enumerate(used)]
+    for parts in (1, 2):
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+        assert lm_score.frequent_words(df, m) == [b"x"]
+
+
 def test_predictive_probabilities_sum_to_one():
     """Every word after one context, and the unknown word, by the totals that a sweep gives."""
     m, rng = lm_score.Model(), np.random.default_rng(0)
