@@ -2,7 +2,7 @@
 
 A word's vector is the mean of the embeddings of its hashed character n-grams, a passage's vector the mean of its
 words' vectors, and a linear softmax turns it into a probability. A text's score is that of its most toxic passage
-(windows of ``window`` words at half steps, over the whole text), so length does not thin out what a passage says. A
+(windows of ``window`` words from every word on, over the whole text), so length does not thin out what a passage says. A
 word that also stands less than a window before adds nothing: a harmless word said over and over stays harmless.
 Unseen misspellings share n-grams with the words they come from.
 
@@ -79,11 +79,10 @@ def bags(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
 
 
 def passages(n: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the windows over ``n`` words; the last ends with the text."""
+    """Starts and ends of all windows over ``n`` words."""
     if n <= window:
         return np.array([0]), np.array([n])
-    starts = np.arange(0, n - window, max(1, window // 2))
-    starts = np.append(starts, n - window)
+    starts = np.arange(n - window + 1)
     return starts, starts + window
 
 

@@ -87,6 +87,15 @@ def test_repeated_words_count_once_in_a_window():
     assert models[1].offset < models[0].offset  # the labels' share of ones, not the sample's
 
 
+def test_best_passage_is_the_best_of_all_starts():
+    rng = np.random.default_rng(7)
+    for n in (1, 15, 16, 17, 24, 100):
+        logits = rng.normal(size=n)
+        a, b, mean = toxicity.best_passage(logits, 16)
+        assert b - a == min(n, 16) and math.isclose(mean, max(logits[k : k + 16].mean() for k in range(max(1, n - 15))))
+    assert toxicity.best_passage(np.repeat([0.0, 1.0, 0.0], [4, 16, 20]), 16) == (4, 20, 1.0)
+
+
 def test_bags_hold_every_ngram():
     s = toxicity.Settings()
     flat, lens = toxicity.bags(["ab", "abcd", "!!"], s)
