@@ -2,15 +2,15 @@
 
 Every context has a restaurant in which each word's customers sit at tables; a table is a customer of the parent
 restaurant, which all contexts share, and the parent's own base is uniform over the vocabulary and one unknown word.
-Contexts are the text's start, each word with at least ``context_share`` of the training tokens (so at most
-1 / ``context_share`` of them, at any input size), and one shared context of all rarer words. Seating is sampled by
-Gibbs: a sweep reseats each word's customers in each restaurant given the tables of the sweep before. Scores use the
-predictive probabilities averaged over the sweeps after ``burn_in``. Random numbers are hashes of word, context and
-sweep, so results do not depend on partitioning or on tasks being run again.
+Contexts are the text's start and every word that one follows. Seating is sampled by Gibbs: a sweep reseats each word's
+customers in each restaurant given the tables of the sweep before. Scores use the predictive probabilities averaged
+over the sweeps after ``burn_in``. Random numbers are hashes of word, context and sweep, so results do not depend on
+partitioning or on tasks being run again; words are known by 64-bit hashes, and so are pairs of context and word.
 
-Counts come from every training text and are summed by Spark. What stays on the driver are vectors of one number per
-context. Texts are read once for contexts and once for chunks: about ``chunk_mb`` of text with its own word list and
-token numbers, so that of a chunk's equal (context, word) pairs only one row travels.
+Texts are read once for chunks: about ``chunk_mb`` of text with its own word list and token numbers. Chunks send hashes
+and counts, packed by range of hash, and get back what the whole corpus has: once for pairs (the training count, and
+which chunk's pair counts for all), and for words after each sweep. Equal pairs are seated alike in every chunk, so
+pairs do not travel again. The driver gets sums of the whole corpus only.
 
 Defined results: a null or empty text is one end token; a null id is a training text; repeated rows are scored and
 counted one by one; an empty table gives no rows; extra columns are ignored.
@@ -19,7 +19,6 @@ counted one by one; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,13 +32,12 @@ from pyspark.sql import functions as F
 from . import _util
 from .dart_minhash import _steps, mix, unit
 
-START, REST = 1, 0  # context numbers; frequent words have those from 2
+START = np.uint64(1)  # the hash of the context before a text
 END = b"\n"  # no word holds it
 
 
 @dataclass(frozen=True)
 class Model:
-    context_share: float = 1e-3
     chunk_mb: float = 24.0
     sweeps: int = 3
     burn_in: int = 1
@@ -66,6 +64,10 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
+def pair_hash(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    return mix(words + mix(contexts + np.uint64(77)))
+
+
 def seat(customers: np.ndarray, alpha: np.ndarray, discount: float, seeds: np.ndarray) -> np.ndarray:
     """Tables after seating each dish's customers one after the other; ``alpha`` is the pull of a new table.
 
@@ -109,58 +111,45 @@ class Totals:
         return (np.maximum(count - m.discount * tables, 0) + self.pull(m)[context] * root) / (m.strength + self.customers[context])
 
 
-def sweeps(words: np.ndarray, starts: np.ndarray, contexts: np.ndarray, counts: np.ndarray, history: list[Totals], base: float, m: Model):
+def seat_root(words: np.ndarray, customers: np.ndarray, before: Totals, s: int, base: float, m: Model) -> np.ndarray:
+    return seat(customers, np.full(len(words), before.root_pull(m) * base), m.root_discount, mix(words) + _steps(1000 * (s + 1) + 500))
+
+
+def sweeps(words: np.ndarray, starts: np.ndarray, contexts: np.ndarray, counts: np.ndarray, history: list[Totals], base: float, m: Model, marks: np.ndarray | None = None):
     """Yield (tables by pair, root customers and tables by word) of each sweep for which ``history`` has the state before.
 
-    Pairs of one word lie together; ``starts`` has each word's first pair.
+    Pairs of one word lie together; ``starts`` has each word's first pair. ``marks`` are the contexts' hashes, by default
+    their numbers. This holds all of a word's pairs at once; ``score`` does the same by chunks.
     """
     lens = np.diff(np.append(starts, len(contexts)))
     owner = np.repeat(np.arange(len(words)), lens)
     tables = np.minimum(counts, 1)
     root_customers = np.add.reduceat(tables, starts)
     root_tables = np.minimum(root_customers, 1)
-    pair_seed = mix(words[owner] + mix(contexts.astype(np.uint64) + np.uint64(77)))
+    pair_seed = pair_hash(words[owner], contexts.astype(np.uint64) if marks is None else marks[contexts])
     for s, before in enumerate(history):
         p = before.root(root_customers, root_tables, base, m)
         tables = seat(counts, before.pull(m)[contexts] * p[owner], m.discount, pair_seed + _steps(1000 * (s + 1)))
         root_customers = np.add.reduceat(tables, starts)
-        root_tables = seat(root_customers, np.full(len(words), before.root_pull(m) * base), m.root_discount, mix(words) + _steps(1000 * (s + 1) + 500))
+        root_tables = seat_root(words, root_customers, before, s, base, m)
         yield tables, root_customers, root_tables
 
 
-def frequent_words(docs: DataFrame, m: Model) -> list[bytes]:
-    """Words with at least ``context_share`` of the training tokens, by their counts over all of them.
+def pack(*arrays: np.ndarray) -> bytes:
+    """Byte planes of each array, compressed: of sorted or small numbers most planes are zeros."""
+    parts = []
+    for x in arrays:
+        parts += [np.int64(len(x)).tobytes(), np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()]
+    return zstandard.compress(b"".join(parts), 1)
 
-    Every word's count goes to Spark's sum; only the words found, at most 1 / share, go to the driver.
-    """
-    _util.ship(docs.sparkSession)
 
-    def run(batches):
-        counts: Counter = Counter()
-        total = 0
-
-        def out():
-            rows = list(counts.items())
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows] + [None], type=pa.binary()), pa.array([r[1] for r in rows] + [total], type=pa.int64())], names=["w", "n"])
-
-        for whole in batches:
-            for i, t in zip(whole.column(0).to_pylist(), whole.column(1).to_pylist(), strict=True):
-                if not is_held_out(i, m):
-                    words = tokens_of(t)
-                    counts.update(words)
-                    total += len(words)
-                    if total > 2_000_000:
-                        yield out()
-                        counts.clear()
-                        total = 0
-        if total:
-            yield out()
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "w binary, n long")
-    sums = _util.save(rows.groupBy("w").agg(F.sum("n").alias("n")), "words")
-    total = sums.filter("w is null").agg(F.sum("n")).first()[0] or 0
-    found = sums.filter(F.col("w").isNotNull() & (F.col("n") >= m.context_share * total)).select("w").collect()
-    return sorted(bytes(r.w) for r in found if bytes(r.w) != END)
+def unpack(blob: bytes, *kinds) -> list[np.ndarray]:
+    raw, at, out = zstandard.decompress(blob), 0, []
+    for kind in map(np.dtype, kinds):
+        n, at = int(np.frombuffer(raw, np.int64, 1, at)[0]), at + 8
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n).T).view(kind).reshape(n))
+        at += n * kind.itemsize
+    return out
 
 
 def chunk_table(docs: DataFrame, m: Model) -> DataFrame:
@@ -204,9 +193,12 @@ def chunk_table(docs: DataFrame, m: Model) -> DataFrame:
 
 
 class Chunk:
-    """An unpacked chunk: texts, and the distinct (word, context) pairs of its tokens."""
+    """An unpacked chunk: texts, and the distinct (word, context) pairs of its tokens, in the order of their hashes.
+
+    Words are in the order of their hashes, the start among them.
+    """
 
-    def __init__(self, payload: bytes, frequent: np.ndarray):
+    def __init__(self, payload: bytes):
         raw, at = zstandard.decompress(payload), 16
         n, v = np.frombuffer(raw, np.int64, 2)
 
@@ -216,179 +208,183 @@ class Chunk:
             at += got.nbytes
             return got
 
-        self.ids, self.null, self.held, self.lens, self.hashes = take(np.int64, n), take(bool, n), take(bool, n), take(np.int64, n), take(np.uint64, v)
-        tokens = take(np.int32, int(self.lens.sum()))
-        place = np.searchsorted(frequent, self.hashes)
-        known = np.zeros(v, dtype=bool)
-        inside = place < len(frequent)
-        known[inside] = frequent[place[inside]] == self.hashes[inside]
-        of_word = np.where(known, place + 2, REST)
+        self.ids, self.null, self.held, self.lens, hashes = take(np.int64, n), take(bool, n), take(bool, n), take(np.int64, n), take(np.uint64, v)
+        self.hashes, place = np.unique(np.append(hashes, START), return_inverse=True)
+        tokens = place[take(np.int32, int(self.lens.sum()))].astype(np.int64)
         context = np.empty(len(tokens), dtype=np.int64)
-        context[1:] = of_word[tokens[:-1]]
+        context[1:] = tokens[:-1]
         self.starts = np.cumsum(self.lens) - self.lens
-        context[self.starts] = START
-        keys, self.pair_of = np.unique(tokens.astype(np.int64) << 16 | context, return_inverse=True)
-        self.word, self.context = keys >> 16, keys & 0xFFFF
+        context[self.starts] = place[-1]
+        keys, pair_of = np.unique(tokens << 32 | context, return_inverse=True)
+        self.key = pair_hash(self.hashes[keys >> 32], self.hashes[keys & 0xFFFFFFFF])
+        order = np.argsort(self.key, kind="stable")
+        turned = np.empty(len(order), dtype=np.int64)
+        turned[order] = np.arange(len(order))
+        self.pair_of, keys, self.key = turned[pair_of], keys[order], self.key[order]
+        self.word, self.context = keys >> 32, keys & 0xFFFFFFFF
         self.trained = np.bincount(self.pair_of, weights=np.repeat(~self.held, self.lens), minlength=len(keys)).astype(np.int64)
 
 
-def pair_rows(chunks: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """A row for each distinct (word, context) of each chunk: its number there and its training count."""
+BLOBS = "to long, source long, blob binary"
 
-    def run(batches):
+
+def sent(number: int, keys: np.ndarray, values: list[np.ndarray], buckets: int) -> pa.Table:
+    """Sorted ``keys`` and their values, a row for each range of keys that has some."""
+    step = (1 << 64) // buckets + 1
+    edges = np.searchsorted(keys, np.array([k * step for k in range(1, buckets)], dtype=np.uint64))
+    edges = np.concatenate([[0], edges, [len(keys)]])
+    to = np.nonzero(np.diff(edges))[0]
+    blobs = [pack(np.diff(keys[a:b], prepend=np.uint64(0)), *[v[a:b] for v in values]) for a, b in zip(edges[to], edges[to + 1], strict=True)]
+    return pa.table({"to": pa.array(to, pa.int64()), "source": pa.array(np.full(len(to), number), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+
+def received(rows: pa.Table, *kinds) -> tuple[list[int], list[int], list[np.ndarray]]:
+    """Sources, lengths and joined arrays of the blobs, in the order of their sources."""
+    rows = rows.sort_by("source")
+    got = [unpack(b, *kinds) for b in rows.column("blob").to_pylist()]
+    return rows.column("source").to_pylist(), [len(g[0]) for g in got], [np.concatenate(x) for x in zip(*got, strict=True)]
+
+
+def merged(rows: pa.Table, values: int) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Sources, edges of their rows, distinct keys, each row's number among these, and the rows' values."""
+    rows = rows.sort_by("source")
+    got = [unpack(b, np.uint64, *[np.int64] * values) for b in rows.column("blob").to_pylist()]
+    keys, number = np.unique(np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got]), return_inverse=True)
+    edges = np.cumsum([0, *[len(g[0]) for g in got]])
+    return rows.column("source").to_pylist(), edges, keys, number, [np.concatenate(x) for x in list(zip(*got, strict=True))[1:]]
+
+
+def pair_counts(chunks: DataFrame, buckets: int) -> DataFrame:
+    """To each chunk, for its pairs in order: the training count in all chunks, and whether it is the first with the pair."""
+
+    def send(batches):
         for b in batches:
             for number, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                c = Chunk(payload, frequent)
-                for a in range(0, len(c.word), 200_000):
-                    s = slice(a, a + 200_000)
-                    size = len(c.word[s])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c.hashes[c.word[s]].view(np.int64)), pa.array(c.context[s].astype(np.int32)), pa.array(np.full(size, number)), pa.array(np.arange(a, a + size, dtype=np.int32)), pa.array(c.trained[s])],
-                        names=["w", "ctx", "chunk", "pair", "n"],
-                    )
+                c = Chunk(payload)
+                yield from sent(number, c.key, [c.trained], buckets).to_batches()
 
-    return chunks.mapInArrow(run, "w long, ctx int, chunk long, pair int, n long")
+    def count(rows: pa.Table) -> pa.Table:
+        bucket = rows.column("to")[0].as_py()
+        sources, edges, keys, number, (n,) = merged(rows, 1)
+        total = np.bincount(number, weights=n).astype(np.int64)[number]
+        first = np.zeros(len(number), dtype=bool)
+        first[np.unique(number, return_index=True)[1]] = True
+        blobs = [pack(total[a:b], first[a:b]) for a, b in zip(edges, edges[1:])]
+        return pa.table({"to": pa.array(sources, pa.int64()), "source": pa.array([bucket] * len(sources), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
+    return _util.save(chunks.mapInArrow(send, BLOBS).groupBy("to").applyInArrow(count, BLOBS), "counts")
 
-def _word_batches(batches):
-    """Arrays (words, starts, contexts, counts) of whole words; a word has at most one pair for each context."""
-    for b in batches:
-        for a in range(0, b.num_rows, 50_000):
-            part = b.slice(a, 50_000)
-            lists = part.column(1)
-            lens = lists.value_lengths().to_numpy().astype(np.int64)
-            pairs = lists.flatten()
-            yield part.column(0).to_numpy().view(np.uint64), np.cumsum(lens) - lens, pairs.field(0).to_numpy().astype(np.int64), pairs.field(1).to_numpy().astype(np.int64)
 
+STATE = (np.uint64, *[np.int64] * 6, np.int32, np.int32, np.int64, bool)
 
-def _totals(model: DataFrame, history: list[Totals], base: float, size: int, m: Model) -> tuple[Totals, int]:
-    """Totals after the last sweep of ``history`` (before any: one table for each pair), and the vocabulary's size."""
 
-    def run(batches):
-        tables, customers, rest = np.zeros(size), np.zeros(size), np.zeros(3)
-        for words, starts, contexts, counts in _word_batches(batches):
-            t = np.minimum(counts, 1)
-            rc = np.add.reduceat(t, starts)
-            rt = np.minimum(rc, 1)
-            for t, rc, rt in sweeps(words, starts, contexts, counts, history, base, m):  # noqa: B007
-                pass
-            tables += np.bincount(contexts, weights=t, minlength=size)
-            customers += np.bincount(contexts, weights=counts, minlength=size)
-            rest += rt.sum(), rc.sum(), (np.add.reduceat(counts, starts) > 0).sum()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(size + 1, dtype=np.int32)), pa.array(np.append(tables, rest[0])), pa.array(np.append(customers, rest[1])), pa.array(np.append(np.zeros(size), rest[2]))],
-            names=["ctx", "t", "c", "v"],
-        )
-
-    rows = model.mapInArrow(run, "ctx int, t double, c double, v double").groupBy("ctx").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum("v").alias("v")).collect()
-    tables, customers, vocabulary = np.zeros(size + 1), np.zeros(size + 1), 0
-    for r in rows:
-        tables[r.ctx], customers[r.ctx] = r.t, r.c
-        vocabulary += int(r.v)
-    return Totals(tables[:size], customers[:size], float(tables[size]), float(customers[size])), vocabulary
-
-
-def fit(chunks: DataFrame, frequent: np.ndarray, m: Model) -> tuple[DataFrame, DataFrame, list[Totals], int, int]:
-    """Pair rows, the model (a row for each word with its pairs), totals after every sweep, N and V."""
-    spark = chunks.sparkSession
-    _util.ship(spark)
-    rows = pair_rows(chunks, frequent)
-    pairs = rows.groupBy("w", "ctx").agg(F.sum("n").alias("n"))
-    model = _util.save(pairs.groupBy("w").agg(F.collect_list(F.struct("ctx", "n")).alias("pairs")), "model")
-    size = len(frequent) + 2
-    first, vocabulary = _totals(model, [], 0.0, size, m)
-    history, base = [first], 1.0 / (vocabulary + 1)
-    for _ in range(m.sweeps):
-        history.append(_totals(model, history, base, size, m)[0])
-    return rows, model, history, int(first.customers.sum()), vocabulary
-
-
-def _predict(model: DataFrame, history: list[Totals], base: float, m: Model) -> DataFrame:
-    """log10 of the averaged predictive probability of every pair, and the word's training count."""
+def states(chunks: DataFrame, counts: DataFrame) -> DataFrame:
+    """What sweeps need of each chunk: words and sums over the pairs that count for all; pairs seen twice or more."""
 
-    def run(batches):
-        for words, starts, contexts, counts in _word_batches(batches):
-            lens = np.diff(np.append(starts, len(contexts)))
-            owner = np.repeat(np.arange(len(words)), lens)
-            total = np.zeros(len(contexts))
-            for s, (t, rc, rt) in enumerate(sweeps(words, starts, contexts, counts, history[:-1], base, m)):
-                if s >= m.burn_in:
-                    after = history[s + 1]
-                    total += after.leaf(counts, t, contexts, after.root(rc, rt, base, m)[owner], m)
-            count = np.add.reduceat(counts, starts)[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(words[owner].view(np.int64)), pa.array(contexts.astype(np.int32)), pa.array(np.log10(total / (m.sweeps - m.burn_in)).astype(np.float32)), pa.array(count)], names=["w", "ctx", "logp", "c"])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        numbers = left.column("chunk").to_pylist()
+        blobs = []
+        for payload in left.column("payload").to_pylist():
+            c, v = Chunk(payload), None
+            _, _, (n, own) = received(right, np.int64, bool)
+            v, many = len(c.hashes), n > 1
+            add = lambda at, x, v=v: np.bincount(at, weights=x, minlength=v).astype(np.int64)
+            once, own_n, t = (n == 1) & own, n * own, np.minimum(n, 1) * own
+            sums = [add(at, x) for x in (once, own_n, t) for at in (c.word, c.context)]
+            blobs.append(pack(c.hashes, *sums, c.word[many].astype(np.int32), c.context[many].astype(np.int32), n[many], own[many]))
+        return pa.table({"to": pa.array(numbers, pa.int64()), "source": pa.array([-1] * len(numbers), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
-    return model.mapInArrow(run, "w long, ctx int, logp float, c long")
+    return _util.save(chunks.groupBy("chunk").cogroup(counts.groupBy("to")).applyInArrow(run, BLOBS), "states")
 
 
-def _packed(joined: DataFrame) -> DataFrame:
-    """Rows (chunk, pair, logp, c) packed into blobs by chunk."""
+REPLY = f"{BLOBS}, rt double, rc double, v long, n long"
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
 
-        def out():
-            t = pa.Table.from_batches(held)
-            chunk, pair, logp, c = (t.column(i).to_numpy() for i in range(4))
-            order = np.lexsort((pair, chunk))
-            chunk, pair, logp, c = chunk[order], pair[order], logp[order], c[order]
-            edges = np.nonzero(np.append(True, chunk[1:] != chunk[:-1]))[0]
-            blobs = []
-            for a, b in zip(edges, np.append(edges[1:], len(chunk))):
-                raw = np.array([b - a], dtype=np.int64).tobytes() + np.diff(pair[a:b], prepend=0).astype(np.int32).tobytes() + logp[a:b].tobytes() + c[a:b].tobytes()
-                blobs.append(zstandard.compress(raw, 1))
-            return pa.RecordBatch.from_arrays([pa.array(chunk[edges]), pa.array(blobs, type=pa.binary())], names=["chunk", "blob"])
+def word_round(state: DataFrame, before: DataFrame | None, known: tuple, s: int, base: float, buckets: int, m: Model) -> tuple[DataFrame, tuple]:
+    """To each chunk, for its words: tables and customers as a context, training count, root customers and tables.
 
-        for b in batches:
-            held.append(b)
-            if sum(x.num_rows for x in held) > 500_000:
-                yield out()
-                held.clear()
-        if sum(x.num_rows for x in held):
-            yield out()
+    Before any sweep each pair has one table. Beside it the sums of root tables and customers, vocabulary and tokens.
+    """
+
+    def send(left: pa.Table, right: pa.Table | None = None) -> pa.Table:
+        number = left.column("to")[0].as_py()
+        hashes, once_w, once_c, n_w, n_c, t_w, t_c, word, context, n, own = unpack(left.column("blob")[0].as_py(), *STATE)
+        if right is not None:
+            _, _, (tables, customers, _, rc, rt) = received(right, *[np.int64] * 5)
+            t = seat_pairs(hashes, word, context, n, Totals(tables, customers, *known), rc, rt, s, base, m) * own
+            t_w, t_c = (once + np.bincount(at, weights=t, minlength=len(hashes)).astype(np.int64) for once, at in ((once_w, word), (once_c, context)))
+        return sent(number, hashes, [t_c, n_c, n_w, t_w], buckets)
+
+    def reply(rows: pa.Table) -> pa.Table:
+        bucket = rows.column("to")[0].as_py()
+        sources, edges, keys, number, values = merged(rows, 4)
+        tables, customers, n, rc = (np.bincount(number, weights=x).astype(np.int64) for x in values)
+        rt = np.minimum(rc, 1) if s < 0 else seat_root(keys, rc, Totals(tables, customers, *known), s, base, m)
+        blobs = [pack(*[x[number[a:b]] for x in (tables, customers, n, rc, rt)]) for a, b in zip(edges, edges[1:])]
+        only = lambda x, kind: pa.array([x] + [0] * (len(blobs) - 1), kind)
+        return pa.table({
+            "to": pa.array(sources, pa.int64()), "source": pa.array([bucket] * len(blobs), pa.int64()), "blob": pa.array(blobs, pa.binary()),
+            "rt": only(float(rt.sum()), pa.float64()), "rc": only(float(rc.sum()), pa.float64()), "v": only(int((n > 0).sum()), pa.int64()), "n": only(int(n.sum()), pa.int64()),
+        })
+
+    first = before is None
+    rows = state.groupBy("to").applyInArrow(lambda t: send(t), BLOBS) if first else state.groupBy("to").cogroup(before.select("to", "source", "blob").groupBy("to")).applyInArrow(lambda a, b: send(a, b), BLOBS)
+    made = _util.save(rows.groupBy("to").applyInArrow(reply, REPLY), f"words-{s + 1}")
+    got = made.agg(*[F.sum(x) for x in ("rt", "rc", "v", "n")]).first()
+    _util.release(state.sparkSession)
+    return made, tuple(x or 0 for x in got)
 
-    return joined.mapInArrow(run, "chunk long, blob binary")
+
+def seat_pairs(hashes, word, context, n, before: Totals, rc, rt, s: int, base: float, m: Model) -> np.ndarray:
+    """A sweep's tables of the given pairs."""
+    p = before.root(rc, rt, base, m)
+    return seat(n, before.pull(m)[context] * p[word], m.discount, pair_hash(hashes[word], hashes[context]) + _steps(1000 * (s + 1)))
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
 def score(docs: DataFrame, m: Model = Model()) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``, ``perplexity``."""
     if not 0 <= m.burn_in < m.sweeps:
         raise ValueError("burn_in must be below sweeps")
-    words = frequent_words(docs, m)
-    frequent = np.sort(np.array([word_hash(w) for w in words], dtype=np.uint64))
     chunks = chunk_table(docs, m)
-    rows, model, history, n_tokens, vocabulary = fit(chunks, frequent, m)
+    buckets = max(1, chunks.count())
+    counts = pair_counts(chunks, buckets)
     _util.release(docs.sparkSession)
-    base = 1.0 / (vocabulary + 1)
-    joined = rows.join(_predict(model, history, base, m), ["w", "ctx"]).filter("c >= 2 or (c = 1 and n = 0)").select("chunk", "pair", "logp", "c")
-    # Left out above, as they need no look-up: words seen once, here, and words never seen.
-    once, never = np.zeros(len(frequent) + 2), np.zeros(len(frequent) + 2)
-    every = np.arange(len(frequent) + 2)
-    for after in history[m.burn_in + 1 :]:
-        once += after.leaf(1, 1, every, after.root(1, 1, base, m), m)
-        never += after.leaf(0, 0, every, after.root(0, 0, base, m), m)
-    with np.errstate(divide="ignore"):
-        once, never = np.log10(once / (m.sweeps - m.burn_in)), np.log10(never / (m.sweeps - m.burn_in))
+    state = states(chunks, counts)
+    _util.release(docs.sparkSession)
+    made, (rt, rc, vocabulary, n_tokens) = word_round(state, None, (0.0, 0.0), -1, 0.0, buckets, m)
+    base, replies, known = 1.0 / (vocabulary + 1), [made], [(rt, rc)]
+    for s in range(m.sweeps):
+        made, sums = word_round(state, replies[-1], known[-1], s, base, buckets, m)
+        replies.append(made)
+        known.append(sums[:2])
+    _util.drop(state)
+    right = counts.withColumn("round", F.lit(-1))
+    for k in range(m.burn_in, m.sweeps + 1):
+        right = right.unionByName(replies[k].select("to", "source", "blob", F.lit(k).alias("round")))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for payload in left.column("payload").to_pylist():
-            c = Chunk(payload, frequent)
-            count = np.minimum(c.trained, 1)
-            logp = np.where(count == 1, once[c.context], never[c.context])
-            for blob in right.column("blob").to_pylist():
-                raw = zstandard.decompress(blob)
-                n = int(np.frombuffer(raw, np.int64, 1)[0])
-                pair = np.cumsum(np.frombuffer(raw, np.int32, n, 8))
-                logp[pair] = np.frombuffer(raw, np.float32, n, 8 + 4 * n)
-                count[pair] = np.frombuffer(raw, np.int64, n, 8 + 8 * n)
-            base_log = np.log10((count + 1) / (n_tokens + vocabulary + 1))
-            sums = [np.add.reduceat(x[c.pair_of], c.starts) for x in (logp, base_log, (count > 0).astype(np.int64))]
-            out.append(pa.table({
-                "doc_id": pa.array(c.ids, mask=c.null), "held_out": pa.array(c.held), "n_tokens": pa.array(c.lens), "n_known": pa.array(sums[2]),
-                "train_tokens": pa.array(np.full(len(c.ids), n_tokens, dtype=np.int64)), "base_score": pa.array(sums[1]), "score": pa.array(sums[0]), "perplexity": pa.array(10 ** np.minimum(300, -sums[0] / c.lens)),
-            }))
-        return pa.concat_tables(out) if out else pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("perplexity", pa.float64())]).empty_table()
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return chunks.groupBy("chunk").cogroup(_packed(joined).groupBy("chunk")).applyInArrow(finish, schema)
+        c = Chunk(left.column("payload")[0].as_py())
+        of_round = lambda k: right.filter(pa.array(right.column("round").to_numpy() == k))
+        _, _, (n, _) = received(of_round(-1), np.int64, bool)
+        many = np.nonzero(n > 1)[0]
+        total, t = np.zeros(len(n)), np.minimum(n, 1)
+        before = None
+        for k in range(m.burn_in, m.sweeps + 1):
+            _, _, (tables, customers, count, rc, rt) = received(of_round(k), *[np.int64] * 5)
+            after = Totals(tables, customers, *known[k])
+            if before is not None:
+                t[many] = seat_pairs(c.hashes, c.word[many], c.context[many], n[many], *before, k - 1, base, m)
+                total += after.leaf(n, t, c.context, after.root(rc, rt, base, m)[c.word], m)
+            before = after, rc, rt
+        count = count[c.word]
+        logp, base_log = np.log10(total / (m.sweeps - m.burn_in)), np.log10((count + 1) / (n_tokens + vocabulary + 1))
+        sums = [np.add.reduceat(x[c.pair_of], c.starts) for x in (logp, base_log, (count > 0).astype(np.int64))]
+        return pa.table({
+            "doc_id": pa.array(c.ids, mask=c.null), "held_out": pa.array(c.held), "n_tokens": pa.array(c.lens), "n_known": pa.array(sums[2]),
+            "train_tokens": pa.array(np.full(len(c.ids), n_tokens, dtype=np.int64)), "base_score": pa.array(sums[1]), "score": pa.array(sums[0]), "perplexity": pa.array(10 ** np.minimum(300, -sums[0] / c.lens)),
+        })
+
+    return chunks.groupBy("chunk").cogroup(right.groupBy("to")).applyInArrow(finish, SCORES)

@@ -187,14 +187,38 @@ def test_language_model_base_is_exact_and_model_sums_to_one(spark):
     assert lm_score.score(docs(spark, ["x"]).limit(0)).count() == 0
 
 
-def test_frequent_words_are_counted_over_all_parts(spark):
-    """x has a tenth of all training tokens, but not of the first part's."""
-    m = lm_score.Model(context_share=0.1)
-    used = [i for i in range(40) if not lm_score.is_held_out(i, m)][:24]
-    rows = [(i, " ".join(["x"] * (1 if k < 12 else 2) + [f"w{i}v{j}" for j in range(18 if k < 12 else 2)])) for k, i in enumerate(used)]
-    for parts in (1, 2):
-        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
-        assert lm_score.frequent_words(df, m) == [b"x"]
+def test_every_context_has_a_restaurant(spark):
+    """Against the model of all (word, context) pairs in one place; words are spread unevenly over the partitions."""
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 60) % 400 + 100 * (i > 40)) for i in range(60)]
+    m, train = lm_score.Model(chunk_mb=0.004), Counter()
+    tokens = [lm_score.tokens_of(t) for t in texts]
+    for i, words in enumerate(tokens):
+        for before, w in zip([None, *words], words):
+            train[w, before] += not lm_score.is_held_out(i, m)
+    names = sorted({w for w, _ in train})
+    number = {None: len(names), **{w: k for k, w in enumerate(names)}}
+    words = np.array([lm_score.word_hash(w) for w in names], dtype=np.uint64)
+    pairs = sorted((number[w], number[c], n) for (w, c), n in train.items())
+    owner, contexts, counts = (np.array(x) for x in zip(*pairs))
+    starts, count = np.searchsorted(owner, np.arange(len(names))), np.bincount(owner, weights=counts)
+    base, size = 1 / ((count > 0).sum() + 1), len(names) + 1
+
+    def totals(t, rc, rt):
+        return lm_score.Totals(np.bincount(contexts, t, size), np.bincount(contexts, counts, size), float(rt.sum()), float(rc.sum()))
+
+    t = np.minimum(counts, 1)
+    rc = np.add.reduceat(t, starts)
+    history, p = [totals(t, rc, np.minimum(rc, 1))], 0
+    for s in range(m.sweeps):
+        t, rc, rt = list(lm_score.sweeps(words, starts, contexts, counts, history, base, m, np.append(words, lm_score.START)))[-1]
+        history.append(after := totals(t, rc, rt))
+        if s >= m.burn_in:
+            p = p + after.leaf(counts, t, contexts, after.root(rc, rt, base, m)[owner], m) / (m.sweeps - m.burn_in)
+    logp = {pair[:2]: x for pair, x in zip(pairs, np.log10(p))}
+    df = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 2), "doc_id long, text string")
+    for r in lm_score.score(df, m).collect():
+        assert math.isclose(r.score, sum(logp[number[w], number[c]] for c, w in zip([None, *tokens[r.doc_id]], tokens[r.doc_id])), rel_tol=1e-9)
 
 
 def test_predictive_probabilities_sum_to_one():
