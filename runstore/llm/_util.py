@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -11,14 +11,14 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
-#: Bytes of an Arrow batch between the JVM and a Python worker: both hold a few of them at once, outside the JVM's heap.
-BATCH_BYTES = 8 << 20
-_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Held while a table is saved, and no longer. Both the JVM and a Python worker hold a few Arrow batches at once, outside
+#: the JVM's heap; and a finished write needs its shuffle files no more.
+_WHILE_SAVING = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,37 +36,40 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session's settings with ``values``, and as they were afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/runstore-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(spark, _WHILE_SAVING):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by ``save`` that no later plan reads."""
-    spark = df.sparkSession
-    roots = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for root in roots:
-        if "/runstore-" in root:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let the context cleaner remove shuffle files of finished jobs, which wait for the driver's garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``save`` that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/runstore-" in root:
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
-    """Make the session ready for Python workers: the package's modules, sent once for each application, and small batches.
-
-    Long texts fill a batch by bytes long before they do by rows. A smaller bound that the session has already stays.
-    """
-    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_SETTING)) > BATCH_BYTES:
-        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    """Make the package's modules known to Python workers, sent once for each application."""
     key = f"shipped {spark.sparkContext.applicationId}"
     if key not in _OWN:
         package = Path(__file__).resolve().parent.parent
@@ -78,12 +81,42 @@ def ship(spark: SparkSession) -> None:
         _OWN[key] = str(to)
 
 
+def col(name: str) -> Column:
+    """The column of exactly this name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+KEPT = "_kept_row"
+
+
+def packed(df: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+    """The caller's columns as the one struct ``KEPT``, so that none of their names can meet one of an operator's."""
+    return df.select(F.struct(*[col(c).alias(c) for c in columns]).alias(KEPT), *more)
+
+
+def unpacked(df: DataFrame, columns: list[str], made: dict[str, Column] | None = None) -> DataFrame:
+    """The caller's columns again and what was made; a made name that the caller has gets underscores in front."""
+    taken, out = {c.lower() for c in columns}, []
+    for name, c in (made or {}).items():
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(c.alias(name))
+    fields = [F.col(KEPT).getField(c).alias(c) for c in columns]
+    return df.select(*fields, *out)
+
+
+def row_hash(text: Column) -> Column:
+    """With the id it tells a row from others of its id whose text differs, and rows without an id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(col(column).cast("string"), F.lit(""))
 
 
 def map_texts(
@@ -93,31 +126,38 @@ def map_texts(
     keep: list[str],
     column: str = "text",
 ) -> DataFrame:
-    """``keep`` columns of every row followed by ``fields``, which ``fn`` makes from the batch's texts.
+    """``KEPT``, a struct of the ``keep`` columns of every row, followed by ``fields``, which ``fn`` makes from the texts.
 
     Rows are independent, so a lost task is simply run again. Nulls reach ``fn`` as ``None``.
     """
     ship(df.sparkSession)
-    kept = [df.schema[c] for c in keep]
-    schema = T.StructType(kept + fields)
-    work = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{column}`").cast("string").alias("t"))
+    inside = column in keep and df.schema[column].dataType == T.StringType()
+    work = packed(df, keep, *([] if inside else [col(column).cast("string").alias("t")]))
+    place = keep.index(column) if inside else -1
+    schema = T.StructType([T.StructField(KEPT, work.schema[KEPT].dataType), *fields])
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                made = fn(batch.column(len(kept)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *made], names=[f"c{i}" for i in range(len(names))])
+                texts = batch.column(0).field(place) if inside else batch.column(1)
+                made = fn(texts.to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=names)
         pa.default_memory_pool().release_unused()  # the worker stays for later tasks
 
-    plain = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(schema.fields)])
-    return work.mapInArrow(run, plain).toDF(*names)
+    return work.mapInArrow(run, schema)
+
+
+def map_columns(df: DataFrame, fn: Callable[[list], list[pa.Array]], fields: list[T.StructField], keep: list[str], column: str = "text") -> DataFrame:
+    """As ``map_texts``, with the kept columns in their own right."""
+    made = map_texts(df, fn, [T.StructField(f"_made{i}", f.dataType) for i, f in enumerate(fields)], keep, column)
+    return unpacked(made, keep, {f.name: F.col(f"_made{i}") for i, f in enumerate(fields)})
 
 
 def id_remainder(column: str, modulus: int):
     """crc32 of the id written in decimal, modulo ``modulus``."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
+    return F.crc32(col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
 def py_remainder(doc_id: int, modulus: int) -> int:

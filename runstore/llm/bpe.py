@@ -213,7 +213,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str, keep: list[str], nam
         c = codec(path, pattern)
         return [pa.array([c.encode(t or "") for t in texts], type=pa.list_(pa.int32()))]
 
-    return _util.map_texts(docs, run, [T.StructField(name, T.ArrayType(T.IntegerType()))], keep)
+    return _util.map_columns(docs, run, [T.StructField(name, T.ArrayType(T.IntegerType()))], keep)
 
 
 def decode_column(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", name: str = "text") -> DataFrame:
@@ -238,4 +238,4 @@ def digests(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> DataFr
         return [pa.array([r[0] for r in rows], type=pa.int64()), *(pa.array([r[i] for r in rows], type=pa.string()) for i in (1, 2))]
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return _util.map_texts(docs, run, fields, keep)
+    return _util.map_columns(docs, run, fields, keep)

@@ -218,7 +218,7 @@ def signature_rows(docs: DataFrame, id_col: str = "doc_id", near: Near = Near())
 
     fields = [T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("weight", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
     work = docs.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("_id"), "text")
-    return _util.map_texts(work, run, fields, ["_id"])
+    return _util.map_columns(work, run, fields, ["_id"])
 
 
 def _shapes(docs: DataFrame, ids: DataFrame, id_col: str, near: Near) -> DataFrame:
@@ -233,7 +233,7 @@ def _shapes(docs: DataFrame, ids: DataFrame, id_col: str, near: Near) -> DataFra
 
     wanted = F.broadcast(ids) if ids.count() <= near.broadcast_ids else ids
     some = docs.join(wanted, F.col(f"`{id_col}`").cast("long") == F.col("rep"), "left_semi").select(F.col(f"`{id_col}`").cast("long").alias("rep"), "text")
-    made = _util.map_texts(some, run, [T.StructField("hashes", T.BinaryType()), T.StructField("counts", T.BinaryType())], ["rep"])
+    made = _util.map_columns(some, run, [T.StructField("hashes", T.BinaryType()), T.StructField("counts", T.BinaryType())], ["rep"])
     return made.groupBy("rep").agg(F.min(F.struct("hashes", "counts")).alias("shape"))
 
 

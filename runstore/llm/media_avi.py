@@ -358,7 +358,7 @@ def digests(docs: DataFrame, keep: list[str]) -> DataFrame:
         rows = [_digest(t) for t in texts]
         return [pa.array([r[i] for r in rows], type=k) for i, (_, _, k) in enumerate(_KINDS)]
 
-    return _util.map_texts(docs, run, [T.StructField(n, k) for n, k, _ in _KINDS], keep)
+    return _util.map_columns(docs, run, [T.StructField(n, k) for n, k, _ in _KINDS], keep)
 
 
 def media_column(docs: DataFrame, keep: list[str], name: str = "media") -> DataFrame:
@@ -367,7 +367,7 @@ def media_column(docs: DataFrame, keep: list[str], name: str = "media") -> DataF
     def run(texts: list) -> list[pa.Array]:
         return [pa.array([store(t) for t in texts], type=pa.binary())]
 
-    return _util.map_texts(docs, run, [T.StructField(name, T.BinaryType())], keep)
+    return _util.map_columns(docs, run, [T.StructField(name, T.BinaryType())], keep)
 
 
 def clip_rows(df: DataFrame, keep: list[str], media: str = "media", shots: Shots = Shots()) -> DataFrame:

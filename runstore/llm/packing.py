@@ -2,21 +2,25 @@
 
 Bounded-space online best-fit: a task keeps a fixed number of open sequences in a bitset keyed by free space, puts each
 piece into the fullest one that still holds it, and closes the fullest when too many are open. Pieces are slim rows
-(no texts, no ids), dealt by a hash of the document over as many tasks as the measured token total asks for, so each
-task packs at most about ``task_tokens`` and only its last open sequences stay part empty.
+(no texts, no ids), dealt by a hash of their row over as many tasks as the measured token total asks for, so each task
+packs about ``task_tokens``, however alike the rows are, and only its last open sequences stay part empty. A task takes
+its pieces by falling length, as the short ones then fill what the long ones leave.
 
-Defined results: a null or empty text is one piece that holds the end id only; repeated rows are packed one by one; an
-empty table gives no rows; extra columns are ignored.
+Defined results: a null or empty text is one piece that holds the end id only; a text that holds the string of one of the
+file's added tokens has that token's id there, as the library has; repeated rows are packed one by one, each with pieces
+of its own; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
@@ -59,8 +63,8 @@ class _Known(dict):
 class WordIds:
     """Little-endian 32-bit ids of whole texts by a ``tokenizers`` file, with the ids of each distinct part kept.
 
-    The file's byte-level pre-tokenizer parts a text by ``pattern`` and no merge crosses a part, so the file's model is
-    asked once for each distinct part. Special tokens' strings in a text are ordinary text.
+    A text is cut at the strings of the file's added tokens, the longest first, and between them by ``pattern`` as the
+    file's byte-level pre-tokenizer does. No merge crosses a part, so the file's model is asked once for each distinct one.
     """
 
     MEMORY = 250_000
@@ -71,11 +75,24 @@ class WordIds:
 
         self.find_all = regex.compile(pattern).findall
         self.memory = _Known(Tokenizer.from_file(path).model)
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f).get("added_tokens") or []
+        if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in added):
+            raise ValueError("added tokens that take spaces with them, stand for whole words or are normalised are not supported")
+        self.added = {t["content"]: struct.pack("<I", t["id"]) for t in added if t["content"]}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")").split if added else lambda text: [text]
 
     def encode(self, text: str) -> bytes:
         if len(self.memory) > self.MEMORY:
             self.memory.clear()
-        return b"".join(map(self.memory.__getitem__, self.find_all(text)))
+        known, made = self.memory.__getitem__, []
+        for k, part in enumerate(self.cut(text)):  # every second one is an added token
+            if k % 2:
+                made.append(self.added[part])
+            else:
+                made += map(known, self.find_all(part))
+        return b"".join(made)
 
 
 _ENCODERS: dict[tuple[str, str], WordIds] = {}
@@ -89,20 +106,26 @@ def pieces_of(ids: bytes, length: int) -> list[tuple[int, int, int, int]]:
     return [(i, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
 
 
+_PIECE = (("piece", T.IntegerType(), pa.int32()), ("start", T.LongType(), pa.int64()), ("length", T.LongType(), pa.int64()), ("ids_crc32", T.LongType(), pa.int64()))
+
+
 def token_pieces(docs: DataFrame, path: str, pattern: str, packing: Packing = Packing(), id_col: str = "doc_id") -> DataFrame:
-    """``id_col``, ``row`` (tells repeated rows apart), ``piece``, ``start``, ``length`` and ``ids_crc32``."""
+    """``_id``, ``row`` (a number of the document's row, as rows may be alike), ``piece``, ``start``, ``length``, ``ids_crc32``."""
 
     def run(texts: list) -> list[pa.Array]:
         if (path, pattern) not in _ENCODERS:
             _ENCODERS[path, pattern] = WordIds(path, pattern)
         encode, end = _ENCODERS[path, pattern].encode, struct.pack("<I", packing.end_id)
         found = [pieces_of(encode(t or "") + end, packing.length) for t in texts]
-        kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
-        return [pa.array([[dict(zip(("piece", "start", "length", "ids_crc32"), p, strict=True)) for p in d] for d in found], type=kind)]
+        edges = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        columns = list(zip(*[p for d in found for p in d], strict=True)) or [()] * len(_PIECE)
+        items = pa.StructArray.from_arrays([pa.array(c, type=k) for c, (_, _, k) in zip(columns, _PIECE, strict=True)], names=[n for n, _, _ in _PIECE])
+        return [pa.ListArray.from_arrays(pa.array(edges), items)]
 
-    item = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
-    made = _util.map_texts(docs.select(F.col(f"`{id_col}`").alias("_id"), F.col("text")), run, [T.StructField("p", T.ArrayType(item))], ["_id"])
-    return made.select("_id", F.explode("p").alias("p")).select("_id", "p.*")
+    item = T.StructType([T.StructField(n, k) for n, k, _ in _PIECE])
+    made = _util.map_texts(docs.select(_util.col(id_col).alias("_id"), F.col("text")), run, [T.StructField("p", T.ArrayType(item))], ["_id"])
+    numbered = made.select(F.col(_util.KEPT)["_id"].alias("_id"), F.monotonically_increasing_id().alias("row"), "p")
+    return numbered.select("_id", "row", F.explode("p").alias("p")).select("_id", "row", "p.*")
 
 
 class OpenBins:
@@ -144,12 +167,13 @@ def pack(pieces: DataFrame, packing: Packing = Packing()) -> DataFrame:
     _util.ship(pieces.sparkSession)
     total = pieces.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, -(-total // packing.task_tokens))
+    rounds = max(1, round(total / (packing.open_bins * packing.length)))
     columns = ["_id", "piece", "start", "length", "ids_crc32"]
-    # The order inside a task is that of a hash, fixed by the rows alone: a task that is run again packs alike.
+    # The order inside a task is fixed by the saved rows alone: a task that is run again packs alike.
     dealt = (
-        pieces.select(*columns, F.xxhash64("_id", "piece", "ids_crc32").alias("h"))
-        .repartition(tasks, "h")
-        .sortWithinPartitions("h", *columns)
+        pieces.select(*columns, "row", F.pmod(F.xxhash64("row", "piece"), F.lit(rounds)).alias("round"))
+        .repartition(tasks, "round")
+        .sortWithinPartitions("round", F.desc("length"), "row", "piece")
         .select(*columns)
     )
 
@@ -168,5 +192,5 @@ def pack(pieces: DataFrame, packing: Packing = Packing()) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str, pattern: str, packing: Packing = Packing(), id_col: str = "doc_id") -> DataFrame:
     """One row per piece: ``id_col``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``."""
-    pieces = _util.save(token_pieces(docs, path, pattern, packing, id_col), "pieces")
-    return pack(pieces, packing).withColumnRenamed("_id", id_col)
+    pieces = _util.save(token_pieces(docs, path, pattern, packing, id_col), "pieces")  # the row numbers are fixed by this
+    return pack(pieces, packing).select(F.col("_id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

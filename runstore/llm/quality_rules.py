@@ -4,7 +4,8 @@ Every document is tested against simple rules; failures are summed by host (``so
 shrunk by a beta prior fitted to all hosts by the method of moments, and the host's verdict is joined back.
 
 Defined results: a null or empty text has no words and fails; a null host is a host of its own; repeated rows are
-judged one by one and all count; an empty table gives no rows. Other columns are ignored, whatever their names.
+judged one by one and all count; an empty table gives no rows. Other columns pass through, whatever their names; where
+the caller keeps a column named like one that is made, the made one gets an underscore in front.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ class Rules:
     max_symbols_percent: int = 25  # symbols to words
     max_dup_lines_percent: int = 30  # repeated lines to words-bearing lines
     max_host_rate: float = 0.6  # a host above this shrunken failure rate is rejected as a whole
-    broadcast_hosts: int = 100_000  # up to so many host verdicts are broadcast; beyond, they are joined by salted keys
+    broadcast_bytes: int = 8 << 20  # host verdicts up to this size are broadcast; beyond, they are joined by salted keys
     salts: int = 32
 
 
@@ -77,26 +78,26 @@ def _batch(texts: list) -> list[pa.Array]:
     return [pa.array(rows[:, i]) for i in range(len(_MEASURES))]
 
 
-def document_measures(docs: DataFrame, keep: list[str], rules: Rules = Rules()) -> DataFrame:
-    """``keep`` columns, the measures and the two document verdicts, one row per input row."""
-    made = _util.map_texts(docs, _batch, [T.StructField(f"_rule_{c}", T.LongType()) for c in _MEASURES], keep)
-    m = {c: F.col(f"_rule_{c}") for c in _MEASURES}
-    base = (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.max_repeat_percent * m["n_words"])
+def document_measures(docs: DataFrame, keep: list[str], host: str = "source", rules: Rules = Rules()) -> DataFrame:
+    """One row per input row: the ``keep`` columns packed, ``host``, the measures, ``base_failed`` and ``failed``."""
+    columns = list(dict.fromkeys([*keep, host]))
+    made = _util.map_texts(docs, _batch, [T.StructField(c, T.LongType()) for c in _MEASURES], columns)
+    base = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     failed = (
         base
-        | (100 * m["n_symbols"] > rules.max_symbols_percent * m["n_words"])
-        | (100 * m["n_dup_lines"] > rules.max_dup_lines_percent * m["n_lines"])
+        | (100 * F.col("n_symbols") > rules.max_symbols_percent * F.col("n_words"))
+        | (100 * F.col("n_dup_lines") > rules.max_dup_lines_percent * F.col("n_lines"))
     )
-    return made.withColumns({"_rule_base_failed": base, "_rule_failed": failed})
+    return made.select(_util.KEPT, F.col(_util.KEPT).getField(host).alias("host"), *_MEASURES, base.alias("base_failed"), failed.alias("failed"))
 
 
-def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
-    """Per host: documents, failures and the failure rate shrunk by the empirical beta prior.
+def host_rates(measured: DataFrame) -> DataFrame:
+    """Per ``host``: documents, failures and the failure rate shrunk by the empirical beta prior.
 
     The prior's mean is the corpus rate and its strength a+b comes from the variance of host rates beyond what
     binomial sampling explains (method of moments); no such variance means complete pooling.
     """
-    per = measured.groupBy(F.col(f"`{host}`").alias("_host")).agg(F.count("*").alias("n"), F.sum(F.col("_rule_failed").cast("long")).alias("failures"))
+    per = measured.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("failures"))
     rate = F.col("failures") / F.col("n")
     total = per.agg(
         F.sum("n").alias("nn"), F.sum("failures").alias("ff"), F.count("*").alias("k"),
@@ -110,35 +111,34 @@ def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
     strength = F.when((between > 0) & (within > 0), F.greatest(within / F.nullif(between, F.lit(0.0)) - 1, F.lit(1.0))).otherwise(F.lit(1e9))
     prior = total.select("mean", strength.alias("strength"))  # one row, so its broadcast is bounded
     return per.crossJoin(F.broadcast(prior)).select(
-        "_host", "n", "failures", ((F.col("failures") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("host_rate")
+        "host", "n", "failures", ((F.col("failures") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("host_rate")
     )
 
 
-def judge(docs: DataFrame, keep: list[str], host: str = "source", rules: Rules = Rules(), measured: DataFrame | None = None) -> DataFrame:
-    """``keep`` columns, measures, ``base_failed``, ``rule_failed``, ``host_rate``, ``host_rejected`` and ``kept``.
+def judged(docs: DataFrame, keep: list[str], host: str = "source", rules: Rules = Rules()) -> DataFrame:
+    """The ``keep`` columns packed, the measures, ``base_failed``, ``failed``, ``host_rate``, ``host_rejected`` and ``kept``.
 
-    ``measured`` may carry the saved output of ``document_measures`` (with ``host`` among its columns); without it the
-    measures are saved to the shared folder, as both the host sums and the final rows read them.
+    The measures are saved to the shared folder, as both the host sums and the final rows read them.
     """
-    if measured is None:
-        cols = list(dict.fromkeys([*keep, host]))
-        measured = _util.save(document_measures(docs, cols, rules), "rules")
-    rates = _util.save(host_rates(measured, host).withColumn("host_rejected", F.col("host_rate") > rules.max_host_rate), "hosts")
-    if rates.count() <= rules.broadcast_hosts:
-        joined = measured.join(F.broadcast(rates), F.col(f"`{host}`").eqNullSafe(F.col("_host")), "left")
+    measured = _util.save(document_measures(docs, keep, host, rules), "rules")
+    rates = host_rates(measured).select(F.col("host").alias("of"), "host_rate", (F.col("host_rate") > rules.max_host_rate).alias("host_rejected"))
+    rates = _util.save(rates, "hosts")
+    count, size = rates.agg(F.count("*"), F.sum(F.octet_length(F.col("of").cast("string")))).first()
+    if 64 * count + (size or 0) <= rules.broadcast_bytes:
+        joined = measured.join(F.broadcast(rates), F.col("host").eqNullSafe(F.col("of")), "left")
     else:  # one host may hold a third of the rows: spread each host's rows over several keys
-        left = measured.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in keep]), F.lit(rules.salts)))
-        right = rates.select("*", F.explode(F.expr(f"sequence(0L, {rules.salts - 1}L)")).alias("_salt_r"))
-        joined = left.join(right, F.col(f"`{host}`").eqNullSafe(F.col("_host")) & (F.col("_salt") == F.col("_salt_r")), "left")
-    verdicts = {c: F.col(f"_rule_{c}") for c in _MEASURES} | {
-        "base_failed": F.col("_rule_base_failed"), "rule_failed": F.col("_rule_failed"),
-        "host_rate": F.col("host_rate"), "host_rejected": F.col("host_rejected"),
-    }
-    kept = ~F.col("_rule_failed") & ~F.coalesce(F.col("host_rejected"), F.lit(False))
-    return joined.select(*[F.col(f"`{c}`") for c in keep], *[v.alias(c) for c, v in verdicts.items() if c not in keep], kept.alias("kept" if "kept" not in keep else "_kept"))
+        left = measured.withColumn("salt", F.pmod(F.xxhash64(_util.KEPT, *_MEASURES), F.lit(rules.salts)))
+        right = rates.select("*", F.explode(F.expr(f"sequence(0L, {rules.salts - 1}L)")).alias("salt_of"))
+        joined = left.join(right, F.col("host").eqNullSafe(F.col("of")) & (F.col("salt") == F.col("salt_of")), "left")
+    return joined.withColumn("kept", ~F.col("failed") & ~F.coalesce(F.col("host_rejected"), F.lit(False)))
+
+
+def judge(docs: DataFrame, keep: list[str], host: str = "source", rules: Rules = Rules()) -> DataFrame:
+    """``keep`` columns, measures, ``base_failed``, ``rule_failed``, ``host_rate``, ``host_rejected`` and ``kept``."""
+    made = {c: F.col(c) for c in _MEASURES} | {"base_failed": F.col("base_failed"), "rule_failed": F.col("failed"), "host_rate": F.col("host_rate")}
+    return _util.unpacked(judged(docs, keep, host, rules), keep, made | {"host_rejected": F.col("host_rejected"), "kept": F.col("kept")})
 
 
 def keep_good(docs: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns unchanged."""
-    rows = judge(docs, docs.columns, host, rules)
-    return rows.filter(F.col("_kept" if "kept" in docs.columns else "kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _util.unpacked(judged(docs, docs.columns, host, rules).filter("kept"), docs.columns)

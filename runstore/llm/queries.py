@@ -109,16 +109,16 @@ WITH l AS (
 ), t AS (
   SELECT *, doc_id * 1000000 + no AS ord, trim(regexp_replace(lower(raw), '[ \t\r\f\x0B]+', ' ', 'g')) AS line FROM l
 ), c AS (
-  SELECT *, string_split(line, ' ') AS ws FROM t WHERE line <> '' AND len(string_split(line, ' ')) >= 5
+  SELECT *, string_split(line, ' ') AS ws FROM t WHERE line <> ''
 ), firsts AS (
   SELECT line, min(ord) AS ord, any_value(ws) AS ws FROM c GROUP BY line
 ), v AS (
   SELECT ord, len(ws) AS n, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:len(ws)]), ' ') AS var
-  FROM (SELECT ord, ws, unnest(generate_series(1, len(ws))) AS i FROM firsts WHERE len(ws) >= 10)
+  FROM (SELECT ord, ws, unnest(generate_series(1, len(ws))) AS i FROM firsts WHERE len(ws) >= 5)
 ), sub AS (
   SELECT v.ord FROM v JOIN (SELECT var, i, n, min(ord) AS first FROM v GROUP BY var, i, n HAVING count(*) > 1) g USING (var, i, n) WHERE v.ord > g.first
 ), ins AS (
-  SELECT greatest(v.ord, f.ord) AS ord FROM v JOIN firsts f ON v.var = f.line WHERE len(f.ws) >= 10
+  SELECT greatest(v.ord, f.ord) AS ord FROM v JOIN firsts f ON v.var = f.line
 ), near AS (
   SELECT line FROM firsts WHERE ord IN (SELECT ord FROM sub UNION SELECT ord FROM ins)
 ), d AS (

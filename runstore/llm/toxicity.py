@@ -227,7 +227,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], s: Settings = Settings
             found.append(Scorer(*sent.value, s))
         return [pa.array([found[0](t) for t in texts], type=pa.float64())]
 
-    return _util.map_texts(docs, run, [T.StructField(name, T.DoubleType())], keep)
+    return _util.map_columns(docs, run, [T.StructField(name, T.DoubleType())], keep)
 
 
 def flag(scored: DataFrame, s: Settings = Settings()) -> DataFrame:

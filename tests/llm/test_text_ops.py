@@ -47,7 +47,7 @@ def test_hosts_are_judged_with_shrinkage_and_joined_back(spark):
     good, bad = " ".join(f"word{i}" for i in range(60)), "# $ %"
     texts = [good] * 30 + [bad] * 30 + [good] + [bad]
     sources = {i: "good" if i < 30 else "bad" if i < 60 else "few" if i == 60 else None for i in range(62)}
-    for rules in (quality_rules.Rules(), quality_rules.Rules(broadcast_hosts=0)):
+    for rules in (quality_rules.Rules(), quality_rules.Rules(broadcast_bytes=0)):
         rows = {r.doc_id: r for r in quality_rules.judge(docs(spark, texts, sources), ["doc_id", "kept"], rules=rules).collect()}
         assert len(rows) == 62 and all(rows[i]._kept for i in range(30)) and not any(rows[i]._kept for i in range(30, 60))
         assert rows[31].host_rejected and not rows[0].host_rejected and rows[0].kept == "y"
@@ -66,17 +66,23 @@ def test_odd_and_empty_tables_do_not_crash(spark):
         assert quality_rules.keep_good(df).columns == df.columns == line_dedup.rewrite(df).columns
 
 
-def edit_one(a, b):
-    if abs(len(a) - len(b)) > 1:
-        return False
-    if len(a) == len(b):
-        return sum(x != y for x, y in zip(a, b)) <= 1
-    a, b = sorted((a, b), key=len)
-    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+def edits(a, b):
+    """Word edits between two lists, by the usual table over what is left without equal words at both ends."""
+    while a and b and a[0] == b[0]:
+        n = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        a, b = a[n:], b[n:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+    return row[-1]
 
 
 def slow_lines(rows, lines):
-    """Kept texts by comparing every line with every earlier one."""
+    """Kept texts by comparing every line with every earlier one; ``rows`` are (place in order, text)."""
     out, seen = {}, []
     for i, t in rows:
         if t is None:
@@ -85,9 +91,13 @@ def slow_lines(rows, lines):
         keep = []
         for raw in t.split("\n"):
             words = " ".join(raw.lower().replace("\t", " ").split(" ")).split()
-            gone = False
-            if len(words) >= lines.min_words:
-                gone = words in seen or (len(words) >= lines.min_words_near and any(len(s) >= lines.min_words_near and edit_one(s, words) for s in seen))
+
+            def near(s, words=words):
+                most = min(lines.max_edits, max(len(s), len(words)) // lines.words_per_edit)
+                return abs(len(s) - len(words)) <= most and edits(s, words) <= most
+
+            gone = bool(words) and (words in seen or any(map(near, seen)))
+            if words:
                 seen.append(words)
             if not gone:
                 keep.append(raw)
@@ -100,18 +110,54 @@ def test_line_dedup_by_brute_force(spark):
     line = " ".join(base)
     variants = [line, line.upper(), "  ".join(base), " ".join(base[1:]), " ".join(base[:-1]), " ".join([*base[:5], "new", *base[5:]]), " ".join([*base[:3], "other", *base[4:]]), " ".join([*base[:3], "x", *base[4:-1], "y"]), " ".join(base[2:]), " ".join(["p", "p", *base]), " ".join(["p", *base])]
     texts = [*variants, "\n".join(variants), "a b\na b\n\na b", "a b c d e\na b c d e", None, "", LONG, LONG + " end", "\n".join([LONG, "tail"])]
-    for lines in (line_dedup.Lines(), line_dedup.Lines(broadcast_lines=0)):
+    for lines in (line_dedup.Lines(), line_dedup.Lines(broadcast_bytes=0)):
         got = {r.doc_id: r._kept_text for r in line_dedup.dedup(docs(spark, texts), lines=lines).collect()}
         assert got == slow_lines(list(enumerate(texts)), lines)
-    kept = line_dedup.rewrite(docs(spark, ["a b c d e", "a b c d e", None, ""]))
-    assert {r.doc_id: (r.text, r.n_chars) for r in kept.collect()} == {0: ("a b c d e", 9), 2: (None, None), 3: ("", 0)}
+    kept = line_dedup.rewrite(docs(spark, ["a b c d e", "a b c d e", None, "", "a b c d e\n" + "x" * 50, "a b c d e\nx"]))
+    assert {r.doc_id: (r.text, r.n_chars) for r in kept.collect()} == {0: ("a b c d e", 9), 2: (None, None), 3: ("", 0), 4: ("x" * 50, 50)}
+
+
+@pytest.mark.parametrize("most", [0, 1, 2])
+def test_lines_of_any_length_within_any_bound(spark, most):
+    """Lines of 1 to 20 words with up to four edits, in two alphabets: a small one that makes many chance meetings."""
+    rng = np.random.default_rng(most)
+    texts = []
+    for size, alphabet in [(n, a) for n in range(1, 21) for a in ("ab", "abcdefghijklmnop")]:
+        base = [str(w) for w in rng.choice(list(alphabet), size)]
+        made = [base]
+        for _ in range(6):
+            words = list(made[rng.integers(len(made))])
+            for _ in range(rng.integers(0, 3)):
+                at = int(rng.integers(0, len(words) + 1))
+                words[at : at + int(rng.integers(0, 2))] = [str(rng.choice(list(alphabet)))] * int(rng.integers(0, 2))
+            made.append(words)
+        texts.append("\n".join(" ".join(w) for w in made))
+    order = rng.permutation(len(texts))
+    texts = [texts[k] for k in order]
+    lines = line_dedup.Lines(max_edits=most)
+    rows = line_dedup.dedup(docs(spark, texts), lines=lines).collect()
+    assert {r.doc_id: r._kept_text for r in rows} == slow_lines(list(enumerate(texts)), lines)
+
+
+def test_rows_of_one_id_or_none_lose_no_text_of_their_own(spark):
+    a, b = "one line that two rows of an id have in common", "another text altogether which stands nowhere else here"
+    schema = "doc_id long, text string"
+    got = line_dedup.dedup(spark.createDataFrame([(1, a), (2, b), (2, a)], schema)).collect()
+    assert sorted((r.doc_id, r._kept_text) for r in got) == [(1, a), (2, ""), (2, b)]
+    got = line_dedup.rewrite(spark.createDataFrame([(None, a), (None, b), (None, a + "\n" + b), (7, a)], schema)).collect()
+    assert sum(a in r.text for r in got) == 1 == sum(b in r.text for r in got) and all(r.doc_id is None for r in got)
+    same = line_dedup.dedup(spark.createDataFrame([(5, a), (5, a)], schema)).collect()
+    assert [r._kept_text for r in same] == [a, a]
+    named = line_dedup.rewrite(spark.createDataFrame([("x", a), ("y", a), (None, b)], "doc_id string, text string")).collect()
+    assert sorted(r.text for r in named) == sorted([a, b]) and {r.doc_id for r in named} == {"x", None}
 
 
 @given(st.lists(st.sampled_from("abc"), max_size=6), st.lists(st.sampled_from("abc"), max_size=6))
 @settings(max_examples=30, deadline=None)
 def test_word_edit_expression(spark_once, a, b):
     df = spark_once.createDataFrame([(a, b)], "a array<string>, b array<string>")
-    assert df.select(line_dedup.word_edit_at_most_one(F.col("a"), F.col("b")).alias("x")).first().x == edit_one(a, b)
+    got = df.select(*[line_dedup.word_edits_within(F.col("a"), F.col("b"), k) for k in range(3)]).first()
+    assert tuple(got) == tuple(edits(a, b) <= k for k in range(3))
 
 
 @pytest.fixture(scope="module")
@@ -179,8 +225,7 @@ def test_packing_is_whole_and_gapless(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = [*ODD, "<|endoftext|> is text", *[f"word{i} " * (i % 90) for i in range(200)]]
+    texts = [*ODD, "x <|endoftext|> is text", "<|endoftext|><|endoftext|>", "<|endoftext|", *[f"word{i} " * (i % 90) for i in range(200)]]
     for p in (packing.Packing(), packing.Packing(open_bins=4, task_tokens=20_000)):
         rows = packing.pack_documents(docs(spark, texts), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, p).collect()
         by, bins = {}, {}
@@ -252,17 +297,23 @@ def test_saved_tables_and_remainders(spark):
     assert spark.range(3).select(_util.id_remainder("id", 7).alias("r")).collect() == [(zlib.crc32(str(i).encode()) % 7,) for i in range(3)]
 
 
-def test_batches_are_bounded_by_bytes_and_a_smaller_bound_stays(spark):
+def test_settings_of_the_session_stay(spark):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
     try:
-        spark.conf.set(key, "64m")
-        _util.ship(spark)
-        assert int(spark.conf.get(key)) == _util.BATCH_BYTES
         spark.conf.set(key, "1m")
         rows = docs(spark, ["x" * 3_000_000, None, ""])  # a row beyond the bound still travels whole
-        found = quality_rules.document_measures(rows, ["doc_id"]).select("doc_id", "_rule_word_chars").collect()
-        assert spark.conf.get(key) == "1m"
+        found = _util.save(quality_rules.judge(rows, ["doc_id"]), "t").select("doc_id", "word_chars").collect()
+        assert spark.conf.get(key) == "1m" and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) != "true"
         assert sorted(map(tuple, found)) == [(0, 3_000_000), (1, 0), (2, 0)]
     finally:
         spark.conf.set(key, before)
+
+
+CLASHES = ["n", "failures", "host", "of", "salt", "host_rate", "host_rejected", "rule_failed", "base_failed", "failed", "n_words", "t", "made", "exact", "near", "found", "parts", "row", "id", "line", "h", "g", "first", "last", "rep", "node", "label", "bucket", "class_size", "is_representative", "d1", "d2", "weight", "bands", "gone", "stays", "round", "piece", "length", "offset", "sequence_id", "score_", "predicted", "words", "key", "_id", "_no", "_t", "_made0", "_gone", "_kept_text", "_n_exact", "_n_near", "_parts", "_rank", "_salt", "_rule_failed", "_fm_score", "_sampled", "_host", "_of", "_first", "_row", "_kept_row", "a.b", "c`d"]
+
+
+def clashing(spark, texts):
+    """A table whose other columns have the names that operators use inside."""
+    df = docs(spark, texts)
+    return df.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)])
