@@ -6,12 +6,15 @@ into each by the cell's own hash, and a text keeps the darts below its weights.
 ``coordinates`` makes a signature that two texts share, per coordinate, with the probability of their weighted Jaccard
 similarity. Signatures are joined in bands and every link is verified exactly.
 
-Copies (equal shingle sets) are one class from the start. In a bucket each member is compared with the bucket's most
-central one, not with all others; members that are still outside the bucket's largest component after that are
-compared with its members in blocks, so no link of a shared bucket is lost and pairs that are no links are never rows. Components are found by distributed label propagation.
-
-Defined results: texts without words are their own class; texts of one to four words are one shingle; a null id is
-left out; rows of one id and equal text share a class; an empty table gives no rows; extra columns are ignored.
+Copies (equal shingle sets) are one node from the start, whatever their ids. In a bucket each node is compared with the
+bucket's most central one, not with all others; nodes that are still outside the bucket's largest component after that
+are compared with its nodes in blocks, so no link of a shared bucket is lost and pairs that are no links are never rows.
+Components are found by distributed label propagation.
+
+Defined results: texts without words are their own class of one; texts of one to four words are one shingle; every row has
+the class of its own text, so rows of one id with different texts may differ; rows without an id take part, and a class
+that has no other has a null id; of a class's rows the one of least id (and hash of the text) stands for it, with all that
+are alike in id and text; an empty table gives no rows; extra columns pass through or are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ class Near:
     similarity: float = 0.8
     bands: int = 24
     rows: int = 5
-    block: int = 256  # members of a bucket that are compared with as many others in one go
-    broadcast_ids: int = 1_000_000  # up to so many ids are broadcast to fetch texts; beyond, the join shuffles
+    block_bytes: int = 4 << 20  # shingle sets of a bucket that are compared with as many others in one go
+    broadcast_bytes: int = 16 << 20  # keys of rows up to this size are broadcast; beyond, the join shuffles
 
     @property
     def coordinates(self) -> int:
@@ -195,8 +198,19 @@ def _chunks(sizes: list[int], most: int):
         yield a, len(sizes)
 
 
+def _digest(shape: tuple[np.ndarray, np.ndarray]) -> list:
+    """128 bits of a shingle set; nulls for none."""
+    if not len(shape[0]):
+        return [None, None]
+    return np.frombuffer(hashlib.blake2b(shape[0].tobytes() + shape[1].astype(np.int64).tobytes(), digest_size=16).digest(), dtype=np.int64).tolist()
+
+
+def _keyed(docs: DataFrame, id_col: str, *more) -> DataFrame:
+    return docs.select(*more, _util.col(id_col).alias("_id"), F.col("text").cast("string").alias("text")).withColumn("_t", _util.row_hash(F.col("text")))
+
+
 def signature_rows(docs: DataFrame, id_col: str = "doc_id", near: Near = Near()) -> DataFrame:
-    """``_id``, the 128-bit digest of the shingle set (``d1``, ``d2``; null without words), its weight and band hashes."""
+    """``_id``, ``_t`` (hash of the text), the digest of the shingle set (``d1``, ``d2``), its weight and band hashes."""
     found: list[Shingler] = []
 
     def run(texts: list) -> list[pa.Array]:
@@ -210,31 +224,42 @@ def signature_rows(docs: DataFrame, id_col: str = "doc_id", near: Near = Near())
             sig = signatures(np.concatenate([p[0] for p in part]), np.concatenate([p[1] for p in part]), np.array([len(p[0]) for p in part]), near.coordinates)
             for i, row in zip(some[a:b], band_hashes(sig, near.bands, near.rows), strict=True):
                 bands[i] = row
-        digests = [np.frombuffer(hashlib.blake2b(s[0].tobytes() + s[1].astype(np.int64).tobytes(), digest_size=16).digest(), dtype=np.int64).tolist() if len(s[0]) else [None, None] for s in sets]
+        digests = [_digest(s) for s in sets]
         return [
             pa.array([d[0] for d in digests], type=pa.int64()), pa.array([d[1] for d in digests], type=pa.int64()),
             pa.array([int(s[1].sum()) for s in sets], type=pa.int64()), pa.array(bands, type=pa.list_(pa.int64())),
         ]
 
     fields = [T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("weight", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    work = docs.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("_id"), "text")
-    return _util.map_columns(work, run, fields, ["_id"])
+    return _util.map_columns(_keyed(docs, id_col), run, fields, ["_id", "_t"])
 
 
-def _shapes(docs: DataFrame, ids: DataFrame, id_col: str, near: Near) -> DataFrame:
-    """``rep`` and its shingle set as bytes, for the wanted ids."""
+def _small(rows: DataFrame, near: Near) -> bool:
+    """Whether rows of an ``_id`` and a few numbers may be broadcast."""
+    count, size = rows.agg(F.count("*"), F.sum(F.octet_length(F.col("_id").cast("string")))).first()
+    return 64 * count + (size or 0) <= near.broadcast_bytes
+
+
+def _shapes(docs: DataFrame, wanted: DataFrame, id_col: str, near: Near) -> DataFrame:
+    """``node`` and its shingle set as bytes, for the wanted rows (``node``, ``_id``, ``_t``, ``d1``, ``d2``)."""
     found: list[Shingler] = []
 
     def run(texts: list) -> list[pa.Array]:
         if not found:
             found.append(Shingler(near.words))
         sets = [found[0](t) for t in texts]
-        return [pa.array([s[0].tobytes() for s in sets], type=pa.binary()), pa.array([s[1].astype(np.int32).tobytes() for s in sets], type=pa.binary())]
+        digests = [_digest(s) for s in sets]
+        return [
+            pa.array([s[0].tobytes() for s in sets], type=pa.binary()), pa.array([s[1].astype(np.int32).tobytes() for s in sets], type=pa.binary()),
+            pa.array([d[0] for d in digests], type=pa.int64()), pa.array([d[1] for d in digests], type=pa.int64()),
+        ]
 
-    wanted = F.broadcast(ids) if ids.count() <= near.broadcast_ids else ids
-    some = docs.join(wanted, F.col(f"`{id_col}`").cast("long") == F.col("rep"), "left_semi").select(F.col(f"`{id_col}`").cast("long").alias("rep"), "text")
-    made = _util.map_columns(some, run, [T.StructField("hashes", T.BinaryType()), T.StructField("counts", T.BinaryType())], ["rep"])
-    return made.groupBy("rep").agg(F.min(F.struct("hashes", "counts")).alias("shape"))
+    of = wanted.select("node", "d1", "d2", F.col("_id").alias("_of"), F.col("_t").alias("_of_t"))
+    of = F.broadcast(of) if _small(wanted, near) else of.hint("merge")
+    some = _keyed(docs, id_col).join(of, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_t") == F.col("_of_t")))
+    fields = [T.StructField("hashes", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("e1", T.LongType()), T.StructField("e2", T.LongType())]
+    made = _util.map_columns(some, run, fields, ["node", "d1", "d2"]).filter("d1 = e1 and d2 = e2")
+    return made.groupBy("node").agg(F.min(F.struct("hashes", "counts")).alias("shape"))
 
 
 def _verified(pairs: DataFrame, shapes: DataFrame, near: Near) -> DataFrame:
@@ -253,7 +278,7 @@ def _verified(pairs: DataFrame, shapes: DataFrame, near: Near) -> DataFrame:
                     ok.append(weighted_jaccard(one, two) >= least - 1e-12)
                 yield b.select([0, 1]).filter(pa.array(ok, type=pa.bool_()))
 
-    one, two = (shapes.select(F.col("rep").alias(x), F.col("shape.hashes").alias(f"{x}h"), F.col("shape.counts").alias(f"{x}c")) for x in ("a", "b"))
+    one, two = (shapes.select(F.col("node").alias(x), F.col("shape.hashes").alias(f"{x}h"), F.col("shape.counts").alias(f"{x}c")) for x in ("a", "b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ah", "ac", "bh", "bc").mapInArrow(run, "a long, b long")
 
 
@@ -275,6 +300,7 @@ def components(edges: DataFrame) -> DataFrame:
         _util.drop(labels)
         labels = new.select("node", "label")
         if not moved:
+            _util.drop(both)
             return labels
 
 
@@ -291,11 +317,17 @@ def block_links(one: list[np.ndarray], two: list[np.ndarray], least: float) -> n
     """Which of ``one`` (rows) and ``two`` (columns), plain sets, have at least this Jaccard similarity; exact."""
     sizes = np.array([len(x) for x in one]), np.array([len(x) for x in two])
     names, place = np.unique(np.concatenate([*one, *two]), return_inverse=True)
-    shared = np.zeros((len(one), len(two)))
     row = np.repeat(np.arange(len(one) + len(two)), np.concatenate(sizes))
-    for low in range(0, len(names), 8192):  # dense counts of a slice of the elements at a time
-        here = (place >= low) & (place < low + 8192)
-        dense = np.zeros((len(one) + len(two), 8192), dtype=np.float32)
+    left = row < len(one)
+    both = (np.bincount(place[left], minlength=len(names)) > 0) & (np.bincount(place[~left], minlength=len(names)) > 0)
+    keep = both[place]  # what only one side has is in no intersection
+    place, row = (np.cumsum(both) - 1)[place[keep]], row[keep]
+    order = np.argsort(place, kind="stable")
+    place, row = place[order], row[order]
+    shared, step = np.zeros((len(one), len(two))), max(64, (1 << 22) // (len(one) + len(two)))
+    for low in range(0, int(both.sum()), step):  # dense counts of a slice of the elements at a time
+        here = slice(*np.searchsorted(place, [low, low + step]))
+        dense = np.zeros((len(one) + len(two), step), dtype=np.float32)
         dense[row[here], place[here] - low] = 1
         shared += dense[: len(one)] @ dense[len(one) :].T
     return shared >= (least - 1e-12) * (sizes[0][:, None] + sizes[1][None, :] - shared)
@@ -304,23 +336,22 @@ def block_links(one: list[np.ndarray], two: list[np.ndarray], least: float) -> n
 def _left_links(members: DataFrame, labels: DataFrame, shapes: DataFrame, near: Near) -> DataFrame:
     """Links (a, b) of one bucket between different components.
 
-    Members outside a bucket's largest component are compared with all its members in blocks of at most about
-    ``near.block`` each side, which travel as blocks: pairs that are no links are never rows.
+    Nodes outside a bucket's largest component are compared with all its nodes in blocks of at most about
+    ``near.block_bytes`` each side, which travel as blocks: pairs that are no links are never rows.
     """
-    placed = members.select("bucket", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    placed = _util.save(placed, "placed")
-    parts = placed.groupBy("bucket", "label", "n").agg(F.count("*").alias("size"))
-    open_ = parts.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("big"), F.max("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1 and n > 2")
-    blocks = lambda n: F.ceil(n / F.lit(near.block)).cast("int")
-    open_ = open_.select("bucket", F.col("big.label").alias("big"), blocks(F.col("n") - F.col("big.size")).alias("ub"), blocks(F.col("n")).alias("mb"))
-    rows = placed.select("bucket", "rep", "label").join(open_, "bucket").withColumn("h", F.xxhash64("rep", F.lit("block")))
+    placed = _util.save(members.select("bucket", "node", "weight", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
+    parts = placed.groupBy("bucket", "label", "n").agg(F.count("*").alias("size"), F.sum("weight").alias("w"))
+    open_ = parts.groupBy("bucket").agg(F.max(F.struct("size", "label", "w")).alias("big"), F.max("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("parts")).filter("parts > 1 and n > 2")
+    blocks = lambda w: F.greatest(F.lit(1), F.ceil(w * 12 / F.lit(near.block_bytes))).cast("int")  # noqa: E731  12 bytes an element at most
+    open_ = _util.save(open_.select("bucket", F.col("big.label").alias("big"), blocks(F.col("w") - F.col("big.w")).alias("ub"), blocks(F.col("w")).alias("mb")), "open-buckets")
+    rows = placed.select("bucket", "node", "label").join(open_, "bucket").withColumn("h", F.xxhash64("node", F.lit("block")))
     own = lambda n: F.pmod(F.col("h"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.filter("label <> big").select("bucket", own("ub").alias("u"), every("mb").alias("m"), F.lit(0).alias("side"), "rep", "label")
-    right = rows.select("bucket", every("ub").alias("u"), own("mb").alias("m"), F.lit(1).alias("side"), "rep", "label")
+    left = rows.filter("label <> big").select("bucket", own("ub").alias("u"), every("mb").alias("m"), F.lit(0).alias("side"), "node", "label")
+    right = rows.select("bucket", every("ub").alias("u"), own("mb").alias("m"), F.lit(1).alias("side"), "node", "label")
     key = ["bucket", "u", "m"]
-    whole = left.unionByName(right).join(shapes.select("rep", F.col("shape.hashes").alias("hashes"), F.col("shape.counts").alias("counts")), "rep")
-    dealt = whole.select(*key, "side", "rep", "label", "hashes", "counts").repartition(*key).sortWithinPartitions(*key, "side", "rep")
+    whole = left.unionByName(right).join(shapes.select("node", F.col("shape.hashes").alias("hashes"), F.col("shape.counts").alias("counts")), "node")
+    dealt = whole.select(*key, "side", "node", "label", "hashes", "counts").repartition(*key).sortWithinPartitions(*key, "side", "node")
     least = near.similarity
     _util.ship(members.sparkSession)
 
@@ -355,38 +386,50 @@ def _left_links(members: DataFrame, labels: DataFrame, shapes: DataFrame, near:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", near: Near = Near()) -> DataFrame:
-    """One row per document: ``id_col``, ``class_id`` (least id of the class), ``is_representative``, ``class_size``."""
+def _classes(docs: DataFrame, id_col: str, near: Near) -> DataFrame:
+    """A row for each of ``docs``: ``_id``, ``_t``, ``class_id``, ``stands`` (for its class) and ``class_size``."""
     signed = _util.save(signature_rows(docs, id_col, near), "signatures")
-    copies = signed.filter("d1 is not null").groupBy("d1", "d2").agg(F.min("_id").alias("rep"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
-    copies = _util.save(copies, "copies")
-    rows = copies.select(F.explode("bands").alias("bucket"), "rep", "weight")
-    shared = rows.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    members = _util.save(rows.join(shared.select("bucket", "n"), "bucket"), "members")
-    # A bucket's hub is its most central member: the one that meets most others in all its buckets together.
-    central = members.groupBy("rep").agg(F.sum("n").alias("score"), F.min("weight").alias("weight"))
-    hubs = members.select("bucket", "rep").join(central, "rep").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("rep")).alias("minus"))).alias("best"))
-    shapes = _util.save(_shapes(docs, members.select("rep").distinct(), id_col, near), "shapes")
-    pairs = members.select("bucket", "rep").join(hubs.select("bucket", (-F.col("best.minus")).alias("hub")), "bucket").filter("rep <> hub")
-    pairs = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    front = F.struct(F.col("_id").isNull().alias("none"), "_id", "_t")  # rows with an id come first
+    copies = signed.filter("d1 is not null").groupBy("d1", "d2").agg(F.min(front).alias("front"), F.count("*").alias("rows"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
+    copies = _util.save(copies.withColumn("node", F.monotonically_increasing_id()), "copies")  # numbered once, by being saved
+    rows = copies.select(F.explode("bands").alias("bucket"), "node", "weight")
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    # Sides that hold one row for each key are saved before a join, so that Spark can split a key with many rows beside them.
+    members = _util.save(rows.join(_util.save(shared.select("bucket", "n"), "buckets"), "bucket"), "members")
+    # A bucket's hub is its most central node: the one that meets most others in all its buckets together.
+    central = _util.save(members.groupBy("node").agg(F.sum("n").alias("score")), "central")
+    hubs = members.select("bucket", "node").join(central, "node").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("node")).alias("minus"))).alias("best"))
+    hubs = _util.save(hubs.select("bucket", (-F.col("best.minus")).alias("hub")), "hubs")
+    wanted = copies.select("node", "front._id", "front._t", "d1", "d2").join(central, "node", "left_semi")
+    shapes = _util.save(_shapes(docs, wanted, id_col, near), "shapes")
+    pairs = members.select("bucket", "node").join(hubs, "bucket").filter("node <> hub")
+    pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     edges = _util.save(_verified(pairs, shapes, near), "links")
     labels = components(edges)
     extra = _util.save(_left_links(members, labels, shapes, near), "links")
     if extra.limit(1).count():
         labels = components(edges.union(extra))
+    _util.drop(members, central, hubs, shapes, edges, extra)
 
-    class_of = copies.select("d1", "d2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("label", "rep").alias("class_id"))
-    rows = _util.save(signed.select("_id", "d1", "d2").join(class_of, ["d1", "d2"], "left").select("_id", F.coalesce("class_id", "_id").alias("class_id")), "classes")
-    sizes = rows.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return rows.join(sizes, "class_id").select(F.col("_id").alias(id_col), "class_id", (F.col("_id") == F.col("class_id")).alias("is_representative"), "class_size")
+    # What every class has, by its label: the row that stands for it and its number of rows; then by each shingle set.
+    labelled = copies.select("d1", "d2", "front", "rows", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    per = _util.save(labelled.groupBy("label").agg(F.min("front").alias("front"), F.sum("rows").alias("class_size")), "class-sizes")
+    class_of = _util.save(labelled.select("d1", "d2", "label").join(per, "label").select("d1", "d2", "front", "class_size"), "class-of")
+    own = F.col("d1").isNull()
+    joined = signed.select("_id", "_t", "d1", "d2").join(class_of, ["d1", "d2"], "left")
+    stands = own | (F.col("_id").eqNullSafe(F.col("front._id")) & F.col("_t").eqNullSafe(F.col("front._t")))
+    return joined.select("_id", "_t", F.when(own, F.col("_id")).otherwise(F.col("front._id")).alias("class_id"), stands.alias("stands"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", near: Near = Near()) -> DataFrame:
-    """The rows of ``docs`` without those of documents that are not their class's representative, columns unchanged.
+def classes(docs: DataFrame, id_col: str = "doc_id", near: Near = Near()) -> DataFrame:
+    """One row per document: ``id_col``, ``class_id`` (least id of the class), ``is_representative``, ``class_size``."""
+    return _classes(docs, id_col, near).select(F.col("_id").alias(id_col), "class_id", F.col("stands").alias("is_representative"), "class_size")
 
-    Rows with a null id stay.
-    """
-    verdicts = classes(docs, id_col, near).groupBy(F.col(f"`{id_col}`").alias("_gone")).agg(F.max("is_representative").alias("stays"))
-    gone = _util.save(verdicts.filter("not stays").select("_gone"), "gone")
-    side = F.broadcast(gone) if gone.count() <= near.broadcast_ids else gone
-    return docs.join(side, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", near: Near = Near()) -> DataFrame:
+    """The rows of ``docs`` that stand for their classes, columns unchanged."""
+    gone = _util.save(_classes(docs, id_col, near).filter("not stands").select("_id", "_t").distinct(), "gone")
+    side = gone.select(F.col("_id").alias("_of"), F.col("_t").alias("_of_t"))
+    side = F.broadcast(side) if _small(gone, near) else side.hint("merge")
+    rows = _keyed(docs, id_col, F.struct(*[_util.col(c).alias(c) for c in docs.columns]).alias(_util.KEPT))
+    return _util.unpacked(rows.join(side, F.col("_id").eqNullSafe(F.col("_of")) & F.col("_t").eqNullSafe(F.col("_of_t")), "left_anti"), docs.columns)

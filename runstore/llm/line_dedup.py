@@ -126,11 +126,12 @@ def _near_lines(docs: DataFrame, firsts: DataFrame, id_col: str, lines: Lines) -
 
 
 def variants(near: DataFrame, lines: Lines) -> DataFrame:
-    """All variants of each line: its place, ``d`` (words left out), ``b`` (words blanked), ``m`` (words and blanks), ``key``, ``kind``."""
+    """All variants of each line: its place and ``h``, ``d`` (words left out), ``b`` (words blanked), ``m`` (words and blanks), ``key``, ``kind``."""
     k, over = lines.max_edits, f"over (partition by {', '.join(AT)}"
     # Dealt by line before the words are taken apart, so the windows need no exchange of words.
-    words = near.repartition(*AT).select(*AT, F.posexplode(F.split("line", " ")).alias("p", "w")).select(*AT, "p", F.xxhash64("w").alias("w"))
-    tagged = words.select(*AT, "p", *[F.xxhash64("w", F.col("p") - s).alias(f"w{s}") for s in range(k + 1)])  # in its place, one before, two before
+    dealt = near.repartition(_util.partitions(near.sparkSession), *AT)
+    words = dealt.select(*AT, "h", F.posexplode(F.split("line", " ")).alias("p", "w")).select(*AT, "h", "p", F.xxhash64("w").alias("w"))
+    tagged = words.select(*AT, "h", "p", *[F.xxhash64("w", F.col("p") - s).alias(f"w{s}") for s in range(k + 1)])  # in its place, one before, two before
     before, whole = f"{over} order by p rows between unbounded preceding and 1 preceding)", f"{over})"
     summed = tagged.select(
         "*", F.expr(f"count(*) {whole}").cast("int").alias("n"),
@@ -141,9 +142,9 @@ def variants(near: DataFrame, lines: Lines) -> DataFrame:
         return f"named_struct('d', {d}, 'b', {len(blanks)}, 'm', cast({m} as int), 'key', {key}, 'kind', xxhash64({', '.join([m, *blanks])}))"
 
     one = [variant("t0 ^ w0", "n", 0, ("p",)), variant("a0 ^ t1 ^ a1 ^ w1", "n - 1", 1)]
-    made = summed.select(*AT, F.explode(F.expr(f"case when p = 0 then array({variant('t0', 'n', 0)}, {', '.join(one)}) else array({', '.join(one)}) end")).alias("v"))
+    made = summed.select(*AT, "h", F.explode(F.expr(f"case when p = 0 then array({variant('t0', 'n', 0)}, {', '.join(one)}) else array({', '.join(one)}) end")).alias("v"))
     if k == 2:
-        per = summed.groupBy(*AT, "n", "t0", "t1", "t2").agg(F.sort_array(F.collect_list(F.struct("p", "w0", "w1", "w2", "a0", "a1", "a2"))).alias("ws"))
+        per = summed.groupBy(*AT, "h", "n", "t0", "t1", "t2").agg(F.sort_array(F.collect_list(F.struct("p", "w0", "w1", "w2", "a0", "a1", "a2"))).alias("ws"))
         firm = [
             variant("t0 ^ x.w0 ^ y.w0", "n", 0, ("x.p", "y.p")),
             variant("x.a0 ^ y.a1 ^ x.a1 ^ x.w1 ^ t2 ^ y.a2 ^ y.w2", "n - 2", 2),
@@ -151,17 +152,18 @@ def variants(near: DataFrame, lines: Lines) -> DataFrame:
             variant("y.a0 ^ t1 ^ y.a1 ^ y.w1 ^ x.w0", "n - 1", 1, ("x.p",)),  # y left out, x blanked
         ]
         pairs = F.expr(f"flatten(flatten(transform(ws, x -> transform(slice(ws, x.p + 2, n), y -> array({', '.join(firm)})))))")
-        made = made.unionByName(per.filter("n >= 2").select(*AT, F.explode(pairs).alias("v")))
-    return made.select(*AT, "v.*")
+        made = made.unionByName(per.filter("n >= 2").select(*AT, "h", F.explode(pairs).alias("v")))
+    return made.select(*AT, "h", "v.*")
 
 
 def near_links(near: DataFrame, lines: Lines) -> DataFrame:
     """The lines (place and key) that have an earlier one within the bound, verified."""
     k, at = lines.max_edits, F.struct(*AT)
     every = _util.save(variants(near, lines), "variants")
+    shared = every.groupBy("key", "kind").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("key", "kind")
+    every = _util.save(every.join(_util.save(shared, "shared-variants").hint("merge"), ["key", "kind"]), "group-members")
     first = [F.min(F.when(F.col("d") == d, at)).alias(f"e{d}") for d in range(k + 1)]
-    groups = every.groupBy("key", "kind").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), *first).filter("lo < hi")
-    groups = _util.save(groups.drop("lo", "hi"), "groups")
+    groups = _util.save(every.groupBy("key", "kind").agg(*first), "groups")
     # Each line of a group with the earliest of every kind that is near enough by this variant.
     near_enough = [f"if(b + d + {e} between 1 and {lines.allowed(f'm + greatest(d, {e})')}, e{e}, null)" for e in range(k + 1)]
     found = every.join(groups.hint("merge"), ["key", "kind"]).select(*AT, F.explode(F.expr(f"array({', '.join(near_enough)})")).alias("first")).filter(F.col("first") < at)

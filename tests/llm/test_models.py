@@ -155,7 +155,7 @@ def test_near_classes_by_brute_force(spark):
         texts.append(" ".join(words))
         if rng.random() < 0.4:
             base = words
-    for near in (dart_minhash.Near(), dart_minhash.Near(block=3, broadcast_ids=0)):
+    for near in (dart_minhash.Near(), dart_minhash.Near(block_bytes=6000, broadcast_bytes=0)):
         rows = dart_minhash.classes(docs(spark, texts), near=near).collect()
         want = slow_classes(texts, near)
         assert {r.doc_id: r.class_id for r in rows} == want
@@ -165,6 +165,36 @@ def test_near_classes_by_brute_force(spark):
     assert dart_minhash.classes(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_near_classes_go_by_row(spark):
+    rng = np.random.default_rng(3)
+    a, b = (" ".join(f"{k}{i}" for i in rng.integers(0, 10**6, 60)) for k in "ab")
+    schema = "doc_id long, text string"
+    rows = [(1, a), (1, b), (2, a + " tail"), (3, b + " tail")]
+    got = {(r.doc_id, r.class_id, r.is_representative, r.class_size) for r in dart_minhash.classes(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(1, 1, True, 2), (2, 1, False, 2), (3, 1, False, 2)}
+    rows = [(5, a), (5, b), (2, a + " tail"), (3, b + " tail"), (None, a), (None, "alone"), (None, "alone")]
+    kept = dart_minhash.keep_one(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(2, a + " tail"), (3, b + " tail"), (None, "alone"), (None, "alone")], key=str)
+    named = dart_minhash.classes(spark.createDataFrame([("y", a), ("x", a + " tail"), ("z", b)], "doc_id string, text string")).collect()
+    assert {(r.doc_id, r.class_id) for r in named} == {("x", "x"), ("y", "x"), ("z", "z")}
+
+
+def test_planted_near_copies_are_found(spark):
+    """Copies with up to 2 % of their words changed, a similarity of about 0.8 or more, against exact comparison."""
+    rng, rows, pairs = np.random.default_rng(21), [], []
+    shingle = dart_minhash.Shingler(5)
+    for _ in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        copy = list(words)
+        for k in rng.choice(200, int(rng.integers(0, 5)), replace=False):
+            copy[k] = f"n{rng.integers(10**9)}"
+        pairs.append((len(rows), " ".join(words), " ".join(copy)))
+        rows += [pairs[-1][1], pairs[-1][2]]
+    got = {r.doc_id: r.class_id for r in dart_minhash.classes(docs(spark, rows)).collect()}
+    wanted = [i for i, x, y in pairs if dart_minhash.weighted_jaccard(shingle(x), shingle(y)) >= 0.8]
+    assert len(wanted) > 100 and np.mean([got[i + 1] == got[i] for i in wanted]) >= 0.99
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "a long, b long")
     assert {r.node: r.label for r in dart_minhash.components(edges).collect()} == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
