@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _util
 
 
 def _training_rows(labels: DataFrame, label: str, modulus: int, held_out: int, id_col: str) -> DataFrame:
     return (
-        labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y"))
+        labels.select(_util.col(id_col).alias("id"), _util.col(label).cast("int").alias("y"))
         .filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & (_util.id_remainder("id", modulus) != held_out))
         .groupBy("id").agg(F.max("y").alias("y"))
     )
@@ -22,7 +23,7 @@ def label_rate(labels: DataFrame, label: str, modulus: int, held_out: int, id_co
     return 0.5 if rate is None else float(rate)
 
 
-def sample_labels(labels: DataFrame, label: str, modulus: int, held_out: int, per_class: int, id_col: str = "doc_id") -> list[tuple[int, int]]:
+def sample_labels(labels: DataFrame, label: str, modulus: int, held_out: int, per_class: int, id_col: str = "doc_id") -> list[tuple]:
     """At most ``per_class`` (id, label) of each class whose id's remainder is not ``held_out``, chosen by a hash of the id.
 
     Rows with a null id or label are left out. An id with contradicting labels counts once, with the larger.
@@ -34,7 +35,21 @@ def sample_labels(labels: DataFrame, label: str, modulus: int, held_out: int, pe
     return [(r.id, r.y) for r in found]
 
 
-def texts_of(docs: DataFrame, ids: list[int], id_col: str = "doc_id") -> DataFrame:
-    """The rows of the sampled ids; the id list is bounded by the sample size, so it may be broadcast."""
-    some = docs.sparkSession.createDataFrame([(i,) for i in ids], "_sampled long")
-    return docs.join(F.broadcast(some), F.col(f"`{id_col}`") == F.col("_sampled"), "left_semi")
+def texts_of(docs: DataFrame, ids: list, most_bytes: int, columns: list[str], id_col: str = "doc_id") -> DataFrame:
+    """``id`` and ``columns`` of the sampled ids, one row each (an id's shortest text), of ``most_bytes`` of text together.
+
+    Where the texts are longer than that, ids stay out from the end of the list. The list is bounded by the sample, so it
+    is broadcast; texts reach the driver only within ``most_bytes``.
+    """
+    spark = docs.sparkSession
+    sampled = spark.createDataFrame([(i,) for i in ids], T.StructType([T.StructField("sampled", docs.schema[id_col].dataType)]))
+    rows = docs.select(_util.col(id_col).alias("id"), F.struct(F.octet_length(F.col("text").cast("string")).alias("size"), *columns).alias("row"))
+    rows = rows.join(F.broadcast(sampled), F.col("id") == F.col("sampled")).groupBy("id").agg(F.min("row").alias("row"))
+    rows = _util.save(rows.select("id", "row.*"), "sample")
+    size = {r.id: r["size"] or 0 for r in rows.select("id", "size").collect()}
+    chosen, total = [], 0
+    for i in ids:
+        if i in size and total + size[i] <= most_bytes:
+            chosen.append(i)
+            total += size[i]
+    return rows.filter(F.col("id").isin(chosen)).select("id", *columns) if len(chosen) < len(size) else rows.select("id", *columns)

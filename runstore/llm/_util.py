@@ -121,28 +121,29 @@ def text_or_empty(column: str = "text"):
 
 def map_texts(
     df: DataFrame,
-    fn: Callable[[list], list[pa.Array]],
+    fn: Callable[..., list[pa.Array]],
     fields: list[T.StructField],
     keep: list[str],
     column: str = "text",
+    also: tuple[Column, ...] = (),
 ) -> DataFrame:
     """``KEPT``, a struct of the ``keep`` columns of every row, followed by ``fields``, which ``fn`` makes from the texts.
 
-    Rows are independent, so a lost task is simply run again. Nulls reach ``fn`` as ``None``.
+    ``fn`` gets a list of texts, and one of the values of each further column. Rows are independent, so a lost task is simply run again. Nulls reach ``fn`` as ``None``.
     """
     ship(df.sparkSession)
     inside = column in keep and df.schema[column].dataType == T.StringType()
-    work = packed(df, keep, *([] if inside else [col(column).cast("string").alias("t")]))
+    work = packed(df, keep, *[c.alias(f"also{i}") for i, c in enumerate(also)], *([] if inside else [col(column).cast("string").alias("t")]))
     place = keep.index(column) if inside else -1
     schema = T.StructType([T.StructField(KEPT, work.schema[KEPT].dataType), *fields])
-    names = [f.name for f in schema.fields]
+    names, further = [f.name for f in schema.fields], len(also)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                texts = batch.column(0).field(place) if inside else batch.column(1)
-                made = fn(texts.to_pylist())
+                texts = batch.column(0).field(place) if inside else batch.column(batch.num_columns - 1)
+                made = fn(texts.to_pylist(), *[batch.column(1 + i).to_pylist() for i in range(further)])
                 yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=names)
         pa.default_memory_pool().release_unused()  # the worker stays for later tasks
 

@@ -4,9 +4,11 @@ Inputs are hashed words, one-hot bins of structure statistics of the text, and o
 ``n_chars`` column, else of the text's length). Ids, labels, language and source are never inputs. The pairwise part
 is scored in linear time: half of the sum over factors of (sum v x)^2 - sum (v x)^2.
 
-Trained in numpy on the driver on at most ``per_class`` documents of each label; applied to every row by executors.
+Trained in numpy on the driver on at most ``per_class`` documents of each label, with ``sample_bytes`` of text together;
+applied to every row by executors.
 Defined results: null and empty texts are scored from their statistics; repeated rows get equal scores; without
-labels of both classes the score is the smoothed label rate; an empty table gives no rows.
+labels of both classes the score is the smoothed label rate; an empty table gives no rows; extra columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ BINS = 12
 @dataclass(frozen=True)
 class Settings:
     per_class: int = 2000  # bound of the training sample, for each label
+    sample_bytes: int = 64 << 20  # and of its texts together
     word_slots: int = 1 << 16
     factors: int = 8
     epochs: int = 14
@@ -111,13 +114,16 @@ class Machine:
     linear: np.ndarray
     factors: np.ndarray
 
-    def logit(self, slots: np.ndarray, values: np.ndarray) -> float:
+    def logits(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of many rows of (slots, values), none of them empty, at once."""
+        starts = np.cumsum([0, *[len(r[0]) for r in rows[:-1]]])
+        slots, values = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
         vx = self.factors[slots] * values[:, None]
-        pairs = 0.5 * ((vx.sum(axis=0) ** 2) - (vx**2).sum(axis=0)).sum()
-        return float(self.bias + (self.linear[slots] * values).sum() + pairs)
+        pairs = 0.5 * (np.add.reduceat(vx, starts, axis=0) ** 2 - np.add.reduceat(vx**2, starts, axis=0)).sum(axis=1)
+        return self.bias + np.add.reduceat(self.linear[slots] * values, starts) + pairs
 
-    def score(self, slots: np.ndarray, values: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.logit(slots, values), -40, 40))))
+    def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logits(rows), -40, 40))) if rows else np.zeros(0)
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int, rate_of_ones: float, s: Settings = Settings()) -> Machine:
@@ -159,8 +165,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: i
     return Machine(b, w, v)
 
 
-def _with_length(docs: DataFrame) -> DataFrame:
-    return docs if "n_chars" in docs.columns else docs.withColumn("n_chars", F.length(_util.text_or_empty()).cast("long"))
+def _with_length(docs: DataFrame):
+    """The bin of ``n_chars``, or of the text's length, as metadata."""
+    return (F.col("n_chars") if "n_chars" in docs.columns else F.length(_util.text_or_empty())).cast("long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, s: Settings = Settings()) -> Machine:
@@ -168,47 +175,38 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2,
     wanted = dict(_learn.sample_labels(labels, "quality", modulus, held_out, s.per_class))
     rate = _learn.label_rate(labels, "quality", modulus, held_out)
     features = Features(s.word_slots)
-    docs = _with_length(docs)
-    _util.ship(docs.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            made = [features(t, n) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([m[0].astype(np.int32).tobytes() for m in made], type=pa.binary()), pa.array([m[1].astype(np.float32).tobytes() for m in made], type=pa.binary())],
-                names=["id", "slots", "x"],
-            )
-
-    some = _learn.texts_of(docs, list(wanted)).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("n_chars").cast("long"))
-    got = sorted((r.id, bytes(r.slots), bytes(r.x)) for r in some.mapInArrow(run, "id long, slots binary, x binary").collect())
+
+    def run(texts: list, lengths: list) -> list[pa.Array]:
+        made = [features(t, n) for t, n in zip(texts, lengths, strict=True)]
+        return [pa.array([m[0].astype(np.int32).tobytes() for m in made], type=pa.binary()), pa.array([m[1].astype(np.float32).tobytes() for m in made], type=pa.binary())]
+
+    some = _learn.texts_of(docs.select("doc_id", "text", _with_length(docs).alias("n_chars")), list(wanted), s.sample_bytes, ["text", "n_chars"])
+    made = _util.map_texts(some, run, [T.StructField("slots", T.BinaryType()), T.StructField("x", T.BinaryType())], ["id"], also=(F.col("n_chars"),))
+    got = sorted((r.id, bytes(r.slots), bytes(r.x)) for r in made.select(F.col(_util.KEPT)["id"].alias("id"), "slots", "x").collect())
     rows = [(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(np.float64)) for _, a, x in got]
     return train(rows, np.array([wanted[i] for i, _, _ in got], dtype=np.float64), features.size, rate, s)
 
 
+def _scored(docs: DataFrame, machine: Machine, keep: list[str], s: Settings) -> DataFrame:
+    """The ``keep`` columns packed, and ``score``. The machine is of fixed size and goes out as a broadcast variable."""
+    sent = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.linear.astype(np.float32), machine.factors.astype(np.float32)))
+    found: list = []
+
+    def run(texts: list, lengths: list) -> list[pa.Array]:
+        if not found:
+            found.extend([Machine(*sent.value), Features(s.word_slots)])
+        m, features = found
+        out = [m.scores([features(t, n) for t, n in zip(texts[k : k + 64], lengths[k : k + 64], strict=True)]) for k in range(0, len(texts), 64)]
+        return [pa.array(np.concatenate([np.zeros(0), *out]), type=pa.float64())]
+
+    return _util.map_texts(docs, run, [T.StructField("score", T.DoubleType())], keep, also=(_with_length(docs),))
+
+
 def score(docs: DataFrame, machine: Machine, keep: list[str], s: Settings = Settings(), name: str = "score") -> DataFrame:
-    """``keep`` columns and the score of every row. The machine is of fixed size and goes out as a broadcast variable."""
-    spark = docs.sparkSession
-    _util.ship(spark)
-    sent = spark.sparkContext.broadcast((machine.bias, machine.linear.astype(np.float32), machine.factors.astype(np.float32)))
-    work = _with_length(docs)
-    fields = [*[docs.schema[c] for c in keep], T.StructField(name, T.DoubleType())]
-    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
-    inputs = [*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("t"), F.col("n_chars").cast("long").alias("n")]
-    kept, slots = len(keep), s.word_slots
-
-    def run(batches):
-        m, features = Machine(*sent.value), Features(slots)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                got = [m.score(*features(t, n)) for t, n in zip(b.column(kept).to_pylist(), b.column(kept + 1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(got, type=pa.float64())], names=[f.name for f in plain.fields])
-        pa.default_memory_pool().release_unused()
-
-    return work.select(*inputs).mapInArrow(run, plain).toDF(*keep, name)
+    """``keep`` columns and the score of every row."""
+    return _util.unpacked(_scored(docs, machine, keep, s), keep, {name: F.col("score")})
 
 
 def keep_good(docs: DataFrame, machine: Machine, s: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` that score at least the threshold, with their columns unchanged."""
-    rows = score(docs, machine, docs.columns, s, "_fm_score")
-    return rows.filter(F.col("_fm_score") >= s.threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _util.unpacked(_scored(docs, machine, docs.columns, s).filter(F.col("score") >= s.threshold), docs.columns)

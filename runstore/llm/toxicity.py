@@ -6,9 +6,10 @@ words' vectors, and a linear softmax turns it into a probability. A text's score
 word that also stands less than a window before adds nothing: a harmless word said over and over stays harmless.
 Unseen misspellings share n-grams with the words they come from.
 
-Trained on the driver on at most ``per_class`` documents of each label; applied to every row by executors. Defined
-results: null and empty texts score as the softmax's bias alone; repeated rows get equal scores; without labels of
-both classes the score is the smoothed label rate; an empty table gives no rows.
+Trained on the driver on at most ``per_class`` documents of each label, with ``sample_bytes`` of text together; n-grams
+of fewer than ``min_documents`` of them stay at zero. Applied to every row by executors. Defined results: null and empty
+texts score as the softmax's bias alone; repeated rows get equal scores; without labels of both classes the score is the
+smoothed label rate; an empty table gives no rows; extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from . import _learn, _util
 @dataclass(frozen=True)
 class Settings:
     per_class: int = 1500  # bound of the training sample, for each label
+    sample_bytes: int = 32 << 20  # and of its texts together
     slots: int = 1 << 17
     width: int = 12
     low: int = 3
@@ -190,7 +192,7 @@ def train(texts: list[str], labels: np.ndarray, rate_of_ones: float, s: Settings
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, s: Settings = Settings()) -> Model:
     """Learn ``labels.toxic`` from a bounded sample whose id remainder is not ``held_out``."""
     wanted = dict(_learn.sample_labels(labels, "toxic", modulus, held_out, s.per_class))
-    got = sorted((r.doc_id, r.text or "") for r in _learn.texts_of(docs, list(wanted)).select("doc_id", "text").collect())
+    got = sorted((r.id, r.text or "") for r in _learn.texts_of(docs, list(wanted), s.sample_bytes, ["text"]).collect())
     y = np.array([wanted[i] for i, _ in got], dtype=np.int64)
     return train([t for _, t in got], y, _learn.label_rate(labels, "toxic", modulus, held_out), s)
 
@@ -204,17 +206,35 @@ class Scorer:
         self.gram_logits, self.offset, self.s, self.memory = gram_logits, offset, s, {}
 
     def __call__(self, text: str | None) -> float:
-        words, memory = words_of(text, self.s), self.memory
-        if new := list(set(words).difference(memory)):
-            slots, lens = bags(new, self.s)
-            memory.update(zip(new, (np.add.reduceat(self.gram_logits[slots], np.cumsum(lens) - lens) / lens).tolist(), strict=True))
-        logits = np.fromiter(map(memory.__getitem__, words), dtype=np.float64, count=len(words))
-        place: dict[str, int] = {}
-        logits *= fresh(np.fromiter((place.setdefault(w, len(place)) for w in words), dtype=np.int64, count=len(words)), self.s.window)
+        return float(self.scores([text])[0])
+
+    def scores(self, texts: list) -> np.ndarray:
+        """Of many texts at once: their words lie end to end."""
+        lists, memory, window = [words_of(t, self.s) for t in texts], self.memory, self.s.window
+        lens = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        place = {w: k for k, w in enumerate(set().union(*lists))}
+        if new := [w for w in place if w not in memory]:
+            slots, sizes = bags(new, self.s)
+            memory.update(zip(new, (np.add.reduceat(self.gram_logits[slots], np.cumsum(sizes) - sizes) / sizes).tolist(), strict=True))
+        of_word = np.fromiter(map(memory.__getitem__, place), dtype=np.float64, count=len(place))
+        ids = np.fromiter((place[w] for words in lists for w in words), dtype=np.int64, count=int(lens.sum()))
+        owner = np.repeat(np.arange(len(lists)), lens)
+        again = np.zeros(len(ids), dtype=bool)  # the same word stands less than a window before
+        for back in range(1, min(window, len(ids))):
+            again[back:] |= (ids[back:] == ids[:-back]) & (owner[back:] == owner[:-back])
+        sums = np.concatenate([[0.0], np.cumsum(np.where(again, 0.0, of_word[ids]))])
+        starts = np.cumsum(lens) - lens
+        means = np.zeros(len(lists))
+        short = (lens > 0) & (lens <= window)
+        means[short] = (sums[starts + lens] - sums[starts])[short] / lens[short]
+        if (long := np.nonzero(lens > window)[0]).size:
+            number = lens[long] - window + 1
+            edges = np.cumsum(number) - number
+            a = np.arange(number.sum()) + np.repeat(starts[long] - edges, number)
+            means[long] = np.maximum.reduceat(sums[a + window] - sums[a], edges) / window
         if len(memory) > self.MEMORY:
             memory.clear()
-        _, _, mean = best_passage(logits, self.s.window)
-        return float(1 / (1 + np.exp(-np.clip(mean + self.offset, -40, 40))))
+        return 1 / (1 + np.exp(-np.clip(means + self.offset, -40, 40)))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], s: Settings = Settings(), name: str = "score") -> DataFrame:
@@ -225,7 +245,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], s: Settings = Settings
     def run(texts: list) -> list[pa.Array]:
         if not found:
             found.append(Scorer(*sent.value, s))
-        return [pa.array([found[0](t) for t in texts], type=pa.float64())]
+        return [pa.array(np.concatenate([np.zeros(0), *[found[0].scores(texts[k : k + 128]) for k in range(0, len(texts), 128)]]), type=pa.float64())]
 
     return _util.map_columns(docs, run, [T.StructField(name, T.DoubleType())], keep)
 

@@ -4,6 +4,7 @@ import itertools
 import math
 import zlib
 from collections import Counter
+from dataclasses import replace
 from pathlib import Path
 
 import numpy as np
@@ -27,7 +28,8 @@ def test_pairwise_part_is_the_double_sum():
     m = quality_fm.Machine(0.3, rng.normal(size=20), rng.normal(size=(20, 4)))
     slots, x = np.array([1, 5, 7, 19]), rng.normal(size=4)
     slow = 0.3 + sum(m.linear[i] * v for i, v in zip(slots, x)) + sum(m.factors[a] @ m.factors[b] * x[i] * x[j] for (i, a), (j, b) in itertools.combinations(enumerate(slots), 2))
-    assert math.isclose(m.logit(slots, x), slow)
+    assert math.isclose(m.logits([(slots, x)])[0], slow)
+    assert np.allclose(m.logits([(slots, x), (slots[:1], x[:1])]), [slow, 0.3 + m.linear[1] * x[0]])
 
 
 def test_machine_learns_an_interaction():
@@ -38,7 +40,7 @@ def test_machine_learns_an_interaction():
         rows.append((np.array([a, 2 + b]), np.ones(2)))
         y.append(float(a ^ b))
     m = quality_fm.train(rows, np.array(y), 4, 0.5, quality_fm.Settings(epochs=60))
-    assert np.mean([(m.score(*r) > 0.5) == t for r, t in zip(rows, y)]) > 0.95
+    assert np.mean((m.scores(rows) > 0.5) == np.array(y)) > 0.95
 
 
 def test_classifiers_take_odd_rows_and_missing_labels(spark):
@@ -104,6 +106,75 @@ def test_bags_hold_every_ngram():
     assert toxicity.bags([], s)[1].tolist() == []
 
 
+@needs_data
+def test_quality_scores_by_plain_python(spark):
+    """The query's scores from features counted with dictionaries and all pairs of them."""
+    d = spark.read.parquet(f"{DATA}/documents.parquet")
+    m = quality_fm.fit(d, spark.read.parquet(f"{DATA}/labels.parquet"), 4, 2)
+    got = {r.doc_id: r.score for r in queries.op5_quality_fm(spark, str(DATA)).collect()}
+    linear, factors, slots = m.linear.astype(np.float32), m.factors.astype(np.float32), quality_fm.Settings().word_slots
+    for r in d.orderBy("n_chars").limit(25).collect():
+        words = (r.text or "").split()
+        count = Counter(zlib.crc32(w.encode("utf-8", "replace")) % slots for w in words)
+        size = math.sqrt(sum(math.log1p(c) ** 2 for c in count.values())) or 1
+        x = [(k, math.log1p(c) / size) for k, c in count.items()]
+        for i, v in enumerate(quality_fm.statistics(r.text or "", words)):
+            x.append((slots + i * quality_fm.BINS + min(quality_fm.BINS - 1, int(math.sqrt(min(1, max(0, v))) * quality_fm.BINS)), 1.0))
+        x.append((slots + quality_fm.STATS * quality_fm.BINS + min(31, int(r.n_chars).bit_length()), 1.0))
+        z = m.bias + sum(float(linear[k]) * v for k, v in x) + sum(float(factors[a] @ factors[b]) * u * v for (a, u), (b, v) in itertools.combinations(x, 2))
+        assert math.isclose(got[r.doc_id], 1 / (1 + math.exp(-z)), abs_tol=2e-4)
+
+
+def slow_toxicity(text, model, s):
+    """A text's score from its n-grams, word by word and window by window, with Python's whole numbers."""
+    full = (1 << 64) - 1
+
+    def slots(word):
+        marked = f"<{word.strip('.,;:!?*#$%&|') or word}>"
+        codes = [(ord(c) + 1) * 0x9E3779B97F4A7C15 & full for c in marked]
+        hashes = []
+        for n in range(s.low, s.high + 1):
+            for k in range(len(codes) - n + 1):
+                rolled = 0
+                for v in codes[k : k + n]:
+                    rolled = (rolled * 0x100000001B3 + (v ^ v >> 29)) & full
+                hashes.append(rolled ^ n)
+        whole = 0
+        for place, v in enumerate(codes):
+            mixed = (v + place) * (2 * place + 0xD6E8FEB86659FD93 & full) & full
+            whole = whole + (mixed ^ mixed >> 32) & full
+        for h in [*hashes, whole]:
+            h = h * 0xFF51AFD7ED558CCD & full
+            yield (h ^ h >> 33) % s.slots
+
+    weights, words = model.gram_logits(), (text or "").lower().split()
+    odds = {w: np.mean([weights[k] for k in slots(w)]) for w in set(words)}
+    value = [0.0 if w in words[max(0, k - s.window + 1) : k] else odds[w] for k, w in enumerate(words)]
+    best = max((np.mean(value[k : k + s.window]) for k in range(max(1, len(value) - s.window + 1))), default=0.0) if words else 0.0
+    return 1 / (1 + math.exp(-(best + model.offset)))
+
+
+@needs_data
+def test_toxicity_scores_by_plain_python(spark):
+    d = spark.read.parquet(f"{DATA}/documents.parquet")
+    s = toxicity.Settings()
+    model = toxicity.fit(d, spark.read.parquet(f"{DATA}/labels.parquet"), 5, 0)
+    got = {r.doc_id: r for r in queries.op7_toxicity(spark, str(DATA)).collect()}
+    assert len(got) == d.count()
+    for r in d.orderBy("n_chars").limit(60).collect():
+        want = slow_toxicity(r.text, model, s)
+        assert math.isclose(got[r.doc_id].score, want, rel_tol=1e-9) and got[r.doc_id].predicted == int(want >= 0.5)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_samples_are_bounded_by_bytes_and_one_row_an_id(spark):
+    from runstore.llm import _learn
+
+    df = spark.createDataFrame([(1, "a" * 40), (1, "b" * 10), (2, "c" * 30), (3, "d" * 70), (4, None)], "doc_id long, text string")
+    got = {r.id: r.text for r in _learn.texts_of(df, [1, 3, 2, 4, 9], 45, ["text"]).collect()}
+    assert got == {1: "b" * 10, 2: "c" * 30, 4: None}
+
+
 @needs_data
 def test_held_out_accuracy(spark):
     got = queries.op5_quality_fm(spark, str(DATA)).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").filter("held_out")
@@ -202,7 +273,7 @@ def test_components_of_a_long_chain(spark):
 
 def test_language_model_base_is_exact_and_model_sums_to_one(spark):
     texts = [*ODD, *["the cat sat on the mat", "The dog sat on the log"] * 20]
-    m = lm_score.Model(chunk_mb=0.05)
+    m = lm_score.Model(chunk_mb=0.05, range_tokens=20_000)
     rows = sorted(lm_score.score(docs(spark, texts), m).collect(), key=lambda r: r.doc_id)
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
     count = Counter(w for t, h in zip(texts, held) if not h for w in lm_score.tokens_of(t))
@@ -217,12 +288,9 @@ def test_language_model_base_is_exact_and_model_sums_to_one(spark):
     assert lm_score.score(docs(spark, ["x"]).limit(0)).count() == 0
 
 
-def test_every_context_has_a_restaurant(spark):
-    """Against the model of all (word, context) pairs in one place; words are spread unevenly over the partitions."""
-    rng = np.random.default_rng(12)
-    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 60) % 400 + 100 * (i > 40)) for i in range(60)]
-    m, train = lm_score.Model(chunk_mb=0.004), Counter()
-    tokens = [lm_score.tokens_of(t) for t in texts]
+def in_one_place(tokens, m):
+    """What ``sweeps`` takes: words, starts, contexts, counts, base and context marks; and the numbers of the words."""
+    train = Counter()
     for i, words in enumerate(tokens):
         for before, w in zip([None, *words], words):
             train[w, before] += not lm_score.is_held_out(i, m)
@@ -232,49 +300,120 @@ def test_every_context_has_a_restaurant(spark):
     pairs = sorted((number[w], number[c], n) for (w, c), n in train.items())
     owner, contexts, counts = (np.array(x) for x in zip(*pairs))
     starts, count = np.searchsorted(owner, np.arange(len(names))), np.bincount(owner, weights=counts)
-    base, size = 1 / ((count > 0).sum() + 1), len(names) + 1
+    base = 1 / ((count > 0).sum() + 1)
+    if m.discount is None:
+        roots = np.bincount(owner, weights=np.minimum(counts, 1)).astype(int)
+        m = replace(m, discount=lm_score.fitted((counts == 1).sum(), (counts == 2).sum()), root_discount=lm_score.fitted((roots == 1).sum(), (roots == 2).sum()))
+    return (words, starts, contexts, counts, base, m, np.append(words, lm_score.START)), number, pairs, owner
+
 
-    def totals(t, rc, rt):
-        return lm_score.Totals(np.bincount(contexts, t, size), np.bincount(contexts, counts, size), float(rt.sum()), float(rc.sum()))
+def averaged(tokens, m):
+    """log10 of the averaged predictive probability of each (word, context)."""
+    args, number, pairs, owner = in_one_place(tokens, m)
+    _, _, contexts, counts, base, m, _ = args
+    p = 0
+    for s, (totals, t, rc, rt) in enumerate(lm_score.sweeps(*args)):
+        if s > m.burn_in:
+            p = p + totals.leaf(counts, t, contexts, totals.root(rc, rt, base, m)[owner], m) / (m.sweeps - m.burn_in)
+    return {pair[:2]: x for pair, x in zip(pairs, np.log10(p))}, number
 
-    t = np.minimum(counts, 1)
-    rc = np.add.reduceat(t, starts)
-    history, p = [totals(t, rc, np.minimum(rc, 1))], 0
-    for s in range(m.sweeps):
-        t, rc, rt = list(lm_score.sweeps(words, starts, contexts, counts, history, base, m, np.append(words, lm_score.START)))[-1]
-        history.append(after := totals(t, rc, rt))
-        if s >= m.burn_in:
-            p = p + after.leaf(counts, t, contexts, after.root(rc, rt, base, m)[owner], m) / (m.sweeps - m.burn_in)
-    logp = {pair[:2]: x for pair, x in zip(pairs, np.log10(p))}
-    df = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 2), "doc_id long, text string")
-    for r in lm_score.score(df, m).collect():
-        assert math.isclose(r.score, sum(logp[number[w], number[c]] for c, w in zip([None, *tokens[r.doc_id]], tokens[r.doc_id])), rel_tol=1e-9)
+
+def test_every_context_has_a_restaurant(spark):
+    """Against the model of all (word, context) pairs in one place; words are spread unevenly over the partitions."""
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 60) % 400 + 100 * (i > 40)) for i in range(60)]
+    tokens = [lm_score.tokens_of(t) for t in texts]
+    m = lm_score.Model(chunk_mb=0.004, range_tokens=500)
+    logp, number = averaged(tokens, m)
+    for parts in (1, 2, 40):  # the same scores whatever the partitions
+        df = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), parts), "doc_id long, text string")
+        for r in lm_score.score(df, m).collect():
+            assert math.isclose(r.score, sum(logp[number[w], number[c]] for c, w in zip([None, *tokens[r.doc_id]], tokens[r.doc_id])), rel_tol=1e-9)
+
+
+def test_seating_agrees_with_one_customer_at_a_time():
+    """Against Gibbs in plain Python, where every customer leaves its table and is seated given all others."""
+    rng = np.random.default_rng(4)
+    tokens = [lm_score.tokens_of(" ".join(f"w{k}" for k in rng.zipf(1.5, 25) % 30)) for _ in range(40)]
+    m = lm_score.Model(discount=0.6, strength=3.0, root_discount=0.5, root_strength=3.0, sweeps=400, burn_in=50)
+    ours, number = averaged(tokens, m)
+    train = [(w, c) for i, words in enumerate(tokens) if not lm_score.is_held_out(i, m) for c, w in zip([None, *words], words)]
+    base = 1 / (len({w for w, _ in train}) + 1)
+    root, leaf, at_leaf = {}, {}, {}  # customers at each table, by word; by context and word
+
+    def chance(tables, all_customers, all_tables, d, strength, parent):
+        return (sum(tables) - d * len(tables) + (strength + d * all_tables) * parent) / (strength + all_customers)
+
+    def p_root(w):
+        return chance(root.get(w, []), sum(map(sum, root.values())), sum(map(len, root.values())), m.root_discount, m.root_strength, base)
+
+    def p_leaf(w, c):
+        r = leaf.get(c, {})
+        return chance(r.get(w, []), sum(map(sum, r.values())), sum(map(len, r.values())), m.discount, m.strength, p_root(w))
+
+    def sit(tables, d, new):
+        k = rng.choice(len(tables) + 1, p=(x := np.array([*[n - d for n in tables], new])) / x.sum())
+        tables[k : k + 1] = [(tables[k] if k < len(tables) else 0) + 1]
+        return k == len(tables) - 1 and tables[k] == 1
+
+    def leave(tables):
+        k = rng.choice(len(tables), p=np.array(tables) / sum(tables))  # customers at tables are alike
+        tables[k] -= 1
+        return tables.pop(k) == 0 if not tables[k] else False
+
+    def add(w, c):
+        r = leaf.setdefault(c, {})
+        if sit(r.setdefault(w, []), m.discount, (m.strength + m.discount * sum(map(len, r.values()))) * p_root(w)):
+            sit(root.setdefault(w, []), m.root_discount, (m.root_strength + m.root_discount * sum(map(len, root.values()))) * base)
+
+    for w, c in train:
+        add(w, c)
+    total, rounds = Counter(), 60
+    for sweep in range(rounds + 10):
+        for k in rng.permutation(len(train)):
+            w, c = train[k]
+            if leave(leaf[c][w]):
+                leave(root[w])
+            add(w, c)
+        if sweep >= 10:
+            for pair in set(train):
+                total[pair] += p_leaf(*pair) / rounds
+    theirs = np.array([math.log10(total[w, c]) for w, c in sorted(total, key=str)])
+    mine = np.array([ours[number[w], number[c]] for w, c in sorted(total, key=str)])
+    assert abs((mine - theirs).mean()) < 0.01 and np.abs(mine - theirs).mean() < 0.02 and np.corrcoef(mine, theirs)[0, 1] > 0.995
 
 
 def test_predictive_probabilities_sum_to_one():
-    """Every word after one context, and the unknown word, by the totals that a sweep gives."""
-    m, rng = lm_score.Model(), np.random.default_rng(0)
+    """Every word after one context, and the unknown word, after each sweep."""
+    m, rng = lm_score.Model(discount=0.7, root_discount=0.6), np.random.default_rng(0)
     words = rng.integers(0, 2**62, 50).astype(np.uint64)
-    contexts, counts = np.tile(np.arange(3), 50), rng.integers(0, 6, 150)
+    contexts, counts = np.tile(np.arange(3), 50), rng.integers(0, 60, 150)
     counts[::3] += 1
     starts, base = np.arange(0, 150, 3), 1 / 51
-    first = lm_score.Totals(np.bincount(contexts, weights=np.minimum(counts, 1)), np.bincount(contexts, weights=counts).astype(float), 50.0, 120.0)
-    (t, rc, rt), *_ = list(lm_score.sweeps(words, starts, contexts, counts, [first], base, m))
-    after = lm_score.Totals(np.bincount(contexts, weights=t), first.customers, float(rt.sum()), float(rc.sum()))
-    p = after.leaf(counts, t, contexts, after.root(rc, rt, base, m)[np.repeat(np.arange(50), 3)], m)
-    unknown = after.leaf(0, 0, np.arange(3), after.root(0, 0, base, m), m)
-    assert np.allclose(np.bincount(contexts, weights=p) + unknown, 1)
-    assert (t <= counts).all() and (t >= np.minimum(counts, 1)).all() and (rt <= rc).all()
-
-
-def test_seating_matches_one_by_one_sampling():
+    for totals, t, rc, rt in lm_score.sweeps(words, starts, contexts, counts, base, m):
+        p = totals.leaf(counts, t, contexts, totals.root(rc, rt, base, m)[np.repeat(np.arange(50), 3)], m)
+        unknown = totals.leaf(0, 0, np.arange(3), totals.root(0, 0, base, m), m)
+        assert np.allclose(np.bincount(contexts, weights=p) + unknown, 1)
+        assert (t <= counts).all() and (t >= np.minimum(counts, 1)).all() and (rt <= rc).all()
+
+
+def test_tables_are_drawn_from_their_distribution():
+    """Stirling numbers against counts of all partitions, and groups against the exact draw."""
+    ways = Counter({(): 1.0})
+    for n in range(6):
+        after = Counter()
+        for sizes, x in ways.items():
+            after[tuple(sorted([*sizes, 1]))] += x
+            for k, size in enumerate(sizes):
+                after[tuple(sorted([*sizes[:k], size + 1, *sizes[k + 1 :]]))] += x * (size - 0.4)
+        ways = after
+    for t in range(1, 7):
+        assert math.isclose(math.exp(lm_score.stirling(0.4, 8)[6, t]), sum(x for sizes, x in ways.items() if len(sizes) == t))
     rng = np.random.default_rng(9)
-    n, size = 200, 4000
-    got = lm_score.seat(np.full(size, n), np.full(size, 5.0), 0.5, rng.integers(0, 2**62, size).astype(np.uint64)).mean()
-    tables = np.ones(size)
-    for k in range(1, n):
-        tables += rng.random(size) < 5.0 / (k - 0.5 * tables + 5.0)
-    assert abs(got - tables.mean()) < 0.05 * tables.mean()
+    for customers, others, base, strength, discount in ((60, 8, 0.2, 5.0, 0.5), (150, 400, 0.01, 20.0, 0.8), (150, 3, 0.6, 20.0, 0.3), (40, 5000, 0.05, 20.0, 0.7), (200, 0, 1e-4, 5.0, 0.6)):
+        draw = lambda exact: lm_score.seat(np.full(4000, customers), np.full(4000, others), np.full(4000, base), strength, discount, rng.integers(0, 2**62, 4000).astype(np.uint64), exact)  # noqa: B023, E731
+        one, two = draw(16), draw(256)
+        assert abs(one.mean() - two.mean()) < 0.08 * two.mean() and abs(one.std() - two.std()) < 0.15 * two.std() + 0.01 and one.min() >= 1 and one.max() <= customers
 
 
 @needs_data
