@@ -2,17 +2,20 @@
 
 A text is parted by the tokenizer's pattern; each distinct part is merged once. Parts of one length bucket lie in a
 padded matrix of token ids; in every round each row merges its leftmost pair of minimum rank, found through an open
-addressing hash table of pairs, and rows are compacted to the left. Finished rows leave the matrix. Results are kept
-in a bounded memory of parts, which only saves time.
-
-Defined results: a null text is empty and has no tokens; every row is encoded on its own, whole.
+addressing hash table of pairs, and rows are compacted to the left. Finished rows leave the matrix. A part beyond the
+buckets is a matrix of one row, in which a round merges all places of the least pair, left to right, unless a token it
+makes has a pair of lesser rank beside it; then the leftmost only, so the result is that of one merge a round. Only ranks
+beside a merge are looked up again, and the row is compacted when half of it is gone. Results are kept in a bounded
+memory of parts, which only saves time.
+
+Defined results: a null text is empty and has no tokens; every row is encoded on its own, whole, so repeated rows have
+equal results; an empty table gives no rows; extra columns pass through or are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 
 import numpy as np
 import pyarrow as pa
@@ -112,26 +115,44 @@ class Codec:
             ids = np.take_along_axis(ids, source, axis=1)
         return done
 
-    def merge_long(self, part: bytes) -> list[int]:
-        """The same merges for a part beyond the buckets, by a heap over linked tokens."""
-        ids = self.byte_ids[np.frombuffer(part, dtype=np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        token = [self.bytes_of[i] for i in ids]
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.ranks.get(token[i] + token[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i] if ids[i] == a else n
-            if j >= n or ids[j] != b:
-                continue
-            ids[i], token[i], ids[j], after[i] = rank, token[i] + token[j], -1, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (r := self.ranks.get(token[x] + token[y])) is not None:
-                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
-        return [i for i in ids if i >= 0]
+    def merge_row(self, part: bytes) -> list[int]:
+        """The merges of one long part."""
+        ids = np.append(self.byte_ids[np.frombuffer(part, dtype=np.uint8)], -1)  # the last is no token
+        n = len(ids) - 1
+        after, before = np.arange(1, n + 2), np.arange(-1, n)  # places of the neighbours; n is the end
+        best = np.append(self.pairs.find(ids[:-1], ids[1:]), NONE)  # of each token and the one after it
+        alive = n
+        while True:
+            rank = best.min()
+            if rank == NONE:
+                return ids[:n][ids[:n] >= 0].tolist()
+            at = np.nonzero(best == rank)[0]
+            if len(at) > 1 and (touching := after[at[:-1]] == at[1:]).any():  # of places in a row every second one
+                first = np.concatenate([[True], ~touching])
+                run = np.cumsum(first) - 1
+                at = at[(np.arange(len(at)) - np.nonzero(first)[0][run]) % 2 == 0]
+            right = after[at]
+            beyond, ahead = after[right], before[at]
+            if len(at) > 1:
+                made = np.full(len(at), rank)
+                # A token made here stands beside its old neighbours or, where these merge as well, beside their new tokens.
+                left_old, right_old = np.where(ahead >= 0, ids[ahead], -1), ids[beyond]
+                left_new = np.where(np.isin(ahead, right), rank, left_old)
+                least = np.minimum(np.minimum(self.pairs.find(left_old, made), self.pairs.find(made, right_old)), self.pairs.find(left_new, made))
+                if (least < rank).any():
+                    at, right, beyond, ahead = at[:1], right[:1], beyond[:1], ahead[:1]
+            ids[at], ids[right], best[right] = rank, -1, NONE
+            after[at] = beyond
+            before[beyond[beyond < n]] = at[beyond < n]
+            alive -= len(at)
+            for place in (at, ahead[ahead >= 0]):
+                place = place[ids[place] >= 0]
+                best[place] = self.pairs.find(ids[place], ids[after[place]])
+            if 2 * alive < n:
+                ids = np.append(ids[:n][ids[:n] >= 0], -1)
+                n = alive
+                after, before = np.arange(1, n + 2), np.arange(-1, n)
+                best = np.append(self.pairs.find(ids[:-1], ids[1:]), NONE)
 
     def encode_parts(self, parts: list[bytes]) -> list[list[int]]:
         """Token ids of every part, in order."""
@@ -142,7 +163,7 @@ class Codec:
             if whole is not None:
                 out[i] = [whole]
             elif len(p) > BUCKETS[-1]:
-                out[i] = self.merge_long(p)
+                out[i] = self.merge_row(p)
             else:
                 by.setdefault(next(b for b in BUCKETS if b >= len(p)), []).append(i)
         for width, members in by.items():
