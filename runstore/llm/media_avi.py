@@ -5,14 +5,19 @@ stored one byte to a flat 8x8 block: the DC coefficient is the sample less 128 a
 byte back exactly. The Huffman tables make every block 16 bits (code and magnitude bits of a DC difference take 12
 together, the end of block 4) and never form a marker byte.
 
-Decoding takes any baseline gray JPEG: tables are read from the frame itself. Frames whose blocks all decode to the
-same number of bits are decoded for all frames at once, others block by block with AC coefficients and inverse DCT.
+Decoding takes any sequential 8-bit JPEG of one or three components in one scan, subsampled or not: tables are read from
+the frame itself, and where it has no Huffman tables, as is usual in motion-JPEG, the standard ones hold. Frames whose
+blocks all decode to the same number of bits are decoded for all frames at once, others block by block with AC
+coefficients and inverse DCT. Of an index both offsets from the ``movi`` list and from the file's start are understood,
+and files of several RIFF parts (OpenDML) are read to the end.
 
-Shots: the distance of successive frames' 16-bin histograms is compared with the mean plus ``sensitivity`` deviations
+Shots: the distance of successive frames' 16-bin histograms (of the luma's block means) is compared with the mean plus ``sensitivity`` deviations
 of the distances in the window before; a cut starts a new clip.
 
 Defined results: a null or empty text is one frame of spaces; equal texts give equal media and features; repeated rows
-are stored one by one; an empty table gives no rows.
+are stored one by one; a text whose file would pass the 4 GiB of a RIFF size raises ``ValueError`` (Spark's own texts end at
+2 GiB); a file that cannot be read has one row without a clip that says why; an empty table gives no rows; extra columns
+pass through or are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _util
@@ -60,6 +66,32 @@ def _canonical(counts: list[int], symbols: list[int]) -> dict[tuple[int, int], i
     return out
 
 
+# The Huffman tables that ITU-T T.81 gives in its annex K, as counts by length and the first symbols by code; the
+# other symbols follow in rising order.
+_K_DC_LUMA = ([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], [])
+_K_DC_CHROMA = ([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0], [])
+_K_AC_LUMA = (
+    [0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125],
+    "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82",
+)
+_K_AC_CHROMA = (
+    [0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119],
+    "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1",
+)
+
+
+def _standard() -> dict[int, dict[tuple[int, int], int]]:
+    """The standard tables by class and number, as in a DHT segment."""
+    every = [0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))]
+    out = {}
+    for kind, (counts, _) in ((0x00, _K_DC_LUMA), (0x01, _K_DC_CHROMA)):
+        out[kind] = _canonical(counts, list(range(12)))
+    for kind, (counts, head) in ((0x10, _K_AC_LUMA), (0x11, _K_AC_CHROMA)):
+        first = [int(x, 16) for x in head.split()]
+        out[kind] = _canonical(counts, first + sorted(set(every) - set(first)))
+    return out
+
+
 # A code of 12 - category bits for each DC category 8 down to 0, and one of 4 bits for the end of a block.
 _DC = ([0, 0, 0] + [1] * 9 + [0] * 4, list(range(8, -1, -1)))
 _AC = ([0, 0, 0, 1] + [0] * 12, [0])
@@ -99,53 +131,69 @@ def encode_frames(payload: bytes) -> list[bytes]:
 
 
 class _Tables:
-    """The parsed head of a frame."""
+    """The parsed head of a frame; ``parts`` has each component's number of blocks across and down in a unit, and its tables."""
 
     def __init__(self, head: bytes):
-        self.quant, self.huff, self.restart, at = {}, {}, 0, 2
+        quant, huff, self.restart, at, found, scan = {}, _standard(), 0, 2, [], {}
         if head[:2] != b"\xff\xd8":
             raise ValueError("not a JPEG frame")
-        while at < len(head):
-            marker, size = head[at + 1], struct.unpack_from(">H", head, at + 2)[0]
-            body, at = head[at + 4 : at + 2 + size], at + 2 + size
+        for marker, body in _segments(head):
             if marker == 0xDB:
                 while body:
                     wide = body[0] >> 4
                     n = 128 if wide else 64
-                    self.quant[body[0] & 15] = np.frombuffer(body[1 : 1 + n], dtype=">u2" if wide else np.uint8).astype(np.int64)
+                    quant[body[0] & 15] = np.frombuffer(body[1 : 1 + n], dtype=">u2" if wide else np.uint8).astype(np.int64)
                     body = body[1 + n :]
             elif marker == 0xC4:
                 while body:
                     n = sum(body[1:17])
-                    self.huff[body[0]] = _canonical(list(body[1:17]), list(body[17 : 17 + n]))
+                    huff[body[0]] = _canonical(list(body[1:17]), list(body[17 : 17 + n]))
                     body = body[17 + n :]
-            elif marker == 0xC0:
-                bits, self.height, self.width, parts = struct.unpack_from(">BHHB", body)
-                if bits != 8 or parts != 1:
-                    raise ValueError("only 8-bit gray baseline frames are decoded")
-                self.quant_id = body[8]
+            elif marker in (0xC0, 0xC1):
+                bits, self.height, self.width, n = struct.unpack_from(">BHHB", body)
+                if bits != 8 or n not in (1, 3):
+                    raise ValueError("only 8-bit frames of one or three components are decoded")
+                found = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
             elif marker == 0xDD:
                 self.restart = struct.unpack(">H", body)[0]
             elif marker == 0xDA:
-                self.dc, self.ac = self.huff[body[2] >> 4], self.huff[0x10 | body[2] & 15]
-            elif 0xC1 <= marker <= 0xCF:
-                raise ValueError("only baseline frames are decoded")
-        self.across, self.down = -(-self.width // 8), -(-self.height // 8)
-        self.q = self.quant[self.quant_id]
+                scan = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
+            elif 0xC2 <= marker <= 0xCF:
+                raise ValueError("only sequential Huffman frames are decoded")
+        if not found or set(scan) != {f[0] for f in found}:
+            raise ValueError("only frames of one scan are decoded")
+        one = len(found) == 1  # blocks of a single component come one by one
+        self.parts = [(1 if one else h, 1 if one else v, quant[q], huff[scan[i] >> 4], huff[0x10 | scan[i] & 15]) for i, h, v, q in found]
+        self.wide, self.tall = max(p[0] for p in self.parts), max(p[1] for p in self.parts)
+        self.units_across, self.units_down = -(-self.width // (8 * self.wide)), -(-self.height // (8 * self.tall))
+        self.across, self.down = self.units_across * self.parts[0][0], self.units_down * self.parts[0][1]  # of the luma
+        self.q = self.parts[0][2]
         self.fixed = self._fixed()
 
     def _fixed(self) -> np.ndarray | None:
         """DC difference by 16-bit word, if every flat block takes 16 bits; -1000 where the word is no such block."""
-        if self.restart or list(self.ac.values()) != [0] or any(bits + s + next(iter(self.ac))[0] != 16 for (bits, _), s in self.dc.items()):
+        dc, ac = self.parts[0][3:]
+        if len(self.parts) > 1 or self.restart or list(ac.values()) != [0] or any(bits + s + next(iter(ac))[0] != 16 for (bits, _), s in dc.items()):
             return None
-        (end_bits, end_code), out = next(iter(self.ac)), np.full(1 << 16, -1000, dtype=np.int64)
-        for (_, code), s in self.dc.items():
+        (end_bits, end_code), out = next(iter(ac)), np.full(1 << 16, -1000, dtype=np.int64)
+        for (_, code), s in dc.items():
             m = np.arange(1 << s)
             value = np.where(m >> max(0, s - 1) == 1, m, m - (1 << s) + 1) if s else np.zeros(1, dtype=np.int64)
             out[((code << s | m) << end_bits) | end_code] = value
         return out
 
 
+def _segments(head: bytes):
+    """(marker, body) of the segments after the start marker; bytes of filling before a marker are passed over."""
+    at = 2
+    while at + 4 <= len(head):
+        while head[at + 1] == 0xFF:
+            at += 1
+        size = struct.unpack_from(">H", head, at + 2)[0]
+        yield head[at + 1], head[at + 4 : at + 2 + size]
+        at += 2 + size
+
+
 _PARSED: dict[bytes, _Tables] = {}
 
 
@@ -153,6 +201,8 @@ def _split(frame: bytes) -> tuple[bytes, bytes]:
     """Head up to and with the scan header, and the scan's data."""
     at = 2
     while True:
+        while frame[at + 1] == 0xFF:
+            at += 1
         marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
         at += 2 + size
         if marker == 0xDA:
@@ -164,10 +214,10 @@ _ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 +
 _COS = np.array([[np.sqrt((1 if u == 0 else 2) / 8) * np.cos((2 * x + 1) * u * np.pi / 16) for u in range(8)] for x in range(8)])
 
 
-def _scan_blocks(data: bytes, t: _Tables) -> np.ndarray:
-    """Quantised coefficients of every block, symbol by symbol."""
-    out = np.zeros((t.across * t.down, 64), dtype=np.int64)
-    parts, bits, last, used = [], "", 0, 0
+def _scan_blocks(data: bytes, t: _Tables) -> list[np.ndarray]:
+    """Quantised coefficients of every component's blocks, row by row of blocks, symbol by symbol."""
+    out = [np.zeros((t.units_down * v, t.units_across * h, 64), dtype=np.int64) for h, v, *_ in t.parts]
+    parts, bits, last, used = [], "", [0] * len(t.parts), 0
     start = at = 0
     while at < len(data):  # part at restart markers
         if data[at] == 0xFF and at + 1 < len(data) and 0xD0 <= data[at + 1] <= 0xD7:
@@ -196,32 +246,53 @@ def _scan_blocks(data: bytes, t: _Tables) -> np.ndarray:
         used += n
         return v if v >> (n - 1) else v - (1 << n) + 1
 
-    for b in range(len(out)):
-        if b == 0 or t.restart and b % t.restart == 0:
+    for unit in range(t.units_across * t.units_down):
+        if unit == 0 or t.restart and unit % t.restart == 0:
             raw = next(streams).replace(b"\xff\x00", b"\xff")
-            bits, used, last = "".join(f"{x:08b}" for x in raw), 0, 0
-        last += number(symbol(t.dc))
-        out[b, 0], k = last, 1
-        while k < 64 and (s := symbol(t.ac)) != 0:
-            k += s >> 4
-            out[b, k] = number(s & 15)
-            k += 1
+            bits, used, last = "".join(f"{x:08b}" for x in raw), 0, [0] * len(t.parts)
+        down, across = divmod(unit, t.units_across)
+        for i, (h, v, _, dc, ac) in enumerate(t.parts):
+            for y in range(v):
+                for x in range(h):
+                    block = out[i][down * v + y, across * h + x]
+                    last[i] += number(symbol(dc))
+                    block[0], k = last[i], 1
+                    while k < 64 and (s := symbol(ac)) != 0:
+                        k += s >> 4
+                        block[k] = number(s & 15)
+                        k += 1
     return out
 
 
+def decode_planes(frame: bytes) -> list[np.ndarray]:
+    """The planes of a frame's components, all of the frame's size: gray, or luma and two of colour."""
+    head, data = _split(frame)
+    t, planes = _PARSED.get(head) or _Tables(head), []
+    for (h, v, q, *_), found in zip(t.parts, _scan_blocks(data, t), strict=True):
+        coefficients = np.zeros((found.shape[0] * found.shape[1], 64))
+        coefficients[:, _ZIGZAG] = found.reshape(-1, 64) * q
+        blocks = np.einsum("xu,nuv,yv->nxy", _COS, coefficients.reshape(-1, 8, 8), _COS)
+        image = np.clip(np.rint(blocks) + 128, 0, 255).astype(np.uint8)
+        image = image.reshape(*found.shape[:2], 8, 8).swapaxes(1, 2).reshape(found.shape[0] * 8, found.shape[1] * 8)
+        rows, columns = np.arange(t.height) * v // t.tall, np.arange(t.width) * h // t.wide
+        planes.append(image[rows[:, None], columns])
+    return planes
+
+
 def decode_frame(frame: bytes) -> np.ndarray:
-    """Pixels of one baseline gray JPEG."""
+    """Pixels of a gray frame, or the luma of one in colour."""
+    return decode_planes(frame)[0]
+
+
+def _block_means(frame: bytes) -> np.ndarray:
+    """The mean of each luma block, which is its DC coefficient."""
     head, data = _split(frame)
     t = _PARSED.get(head) or _Tables(head)
-    coefficients = np.zeros((t.across * t.down, 64))
-    coefficients[:, _ZIGZAG] = _scan_blocks(data, t) * t.q
-    blocks = np.einsum("xu,nuv,yv->nxy", _COS, coefficients.reshape(-1, 8, 8), _COS)
-    image = np.clip(np.rint(blocks) + 128, 0, 255).astype(np.uint8)
-    return image.reshape(t.down, t.across, 8, 8).swapaxes(1, 2).reshape(t.down * 8, t.across * 8)[: t.height, : t.width]
+    return np.clip((_scan_blocks(data, t)[0][:, :, 0].ravel() * t.q[0] + 4 >> 3) + 128, 0, 255).astype(np.uint8)
 
 
 def decode_flat(frames: list[bytes]) -> np.ndarray:
-    """One sample per block for frames of flat blocks, frames x blocks."""
+    """The mean of each luma block, frames x blocks: for flat blocks what was stored."""
     if not frames:
         return np.zeros((0, FRAME), dtype=np.uint8)
     head, data = _split(frames[0])
@@ -237,7 +308,7 @@ def decode_flat(frames: list[bytes]) -> np.ndarray:
         step = t.fixed[raw]
         if (step > -1000).all():
             return np.clip((np.cumsum(step, axis=1) * t.q[0] + 4 >> 3) + 128, 0, 255).astype(np.uint8)
-    return np.stack([decode_frame(f)[::8, ::8].ravel() for f in frames])
+    return np.stack([_block_means(f) for f in frames])
 
 
 # --- RIFF ---------------------------------------------------------------------------------------------------------
@@ -261,47 +332,59 @@ def write_avi(frames: list[bytes], rate: int = 25, size: tuple[int, int] = (ACRO
         movi.append(c)
         index.append(b"00dc" + struct.pack("<III", 0x10, at, len(f)))
         at += len(c)
+    if at + 16 * len(index) + len(head) + 64 >= 1 << 32:
+        raise ValueError("a RIFF file holds less than 4 GiB")
     return _chunk(b"RIFF", b"AVI " + head + _chunk(b"LIST", b"".join(movi)) + _chunk(b"idx1", b"".join(index)))
 
 
 def read_avi(media: bytes) -> tuple[float, list[bytes]]:
-    """Frame rate and frames, found through the index; without an index the ``movi`` list is walked."""
+    """Frame rate and frames, found through the index; ``movi`` lists that none covers are walked."""
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    view, rate, movi, index = memoryview(media), 25.0, None, None
+    rate, movi, index = 25.0, [], None
 
     def walk(at: int, end: int) -> None:
-        nonlocal rate, movi, index
+        nonlocal rate, index
         while at + 8 <= end:
             name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
-            if name == b"LIST":
-                kind = media[at + 8 : at + 12]
-                if kind == b"movi":
-                    movi = (at + 8, at + 8 + size)
+            if name in (b"LIST", b"RIFF"):
+                if media[at + 8 : at + 12] == b"movi":
+                    movi.append((at + 8, min(len(media), at + 8 + size)))
                 else:
-                    walk(at + 12, at + 8 + size)
-            elif name == b"strh":
+                    walk(at + 12, min(len(media), at + 8 + size))
+            elif name == b"strh" and media[at + 8 : at + 12] == b"vids":
                 scale, per = struct.unpack_from("<II", media, at + 28)
-                rate = per / scale if scale else rate
+                rate = per / scale if scale and per else rate
             elif name == b"idx1":
                 index = (at + 8, size // 16)
             at += 8 + size + (size & 1)
 
-    walk(12, min(len(media), 8 + struct.unpack_from("<I", media, 4)[0]))
-    if movi is None:
-        return rate, []
-    frames = []
-    if index:
-        for name, _, at, size in struct.iter_unpack("<4sIII", view[index[0] : index[0] + 16 * index[1]]):
-            if name[2:] in (b"dc", b"db"):
-                frames.append(media[movi[0] + at + 8 : movi[0] + at + 8 + size])
-    else:
-        at = movi[0] + 4
-        while at + 8 <= movi[1]:
-            size = struct.unpack_from("<I", media, at + 4)[0]
-            if media[at + 2 : at + 4] in (b"dc", b"db"):
-                frames.append(media[at + 8 : at + 8 + size])
+    walk(0, len(media))
+
+    def listed(start: int) -> list[bytes] | None:
+        """The frames of the index, whose offsets count from the list or, in some files, from the file's start."""
+        entries = list(struct.iter_unpack("<4sIII", media[index[0] : index[0] + 16 * index[1]]))
+        for origin in (start, 0):
+            if all(media[origin + at : origin + at + 4] == name for name, _, at, _ in entries):
+                return [media[origin + at + 8 : origin + at + 8 + size] for name, _, at, size in entries if name[2:] in (b"dc", b"db") and size]
+        return None
+
+    def walked(start: int, end: int) -> list[bytes]:
+        at, out = start + 4, []
+        while at + 8 <= end:
+            name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
+            if name == b"LIST":  # a group of chunks
+                at += 12
+                continue
+            if name[2:] in (b"dc", b"db") and size:
+                out.append(media[at + 8 : at + 8 + size])
             at += 8 + size + (size & 1)
+        return out
+
+    frames = []
+    for k, (start, end) in enumerate(movi):
+        found = listed(start) if index and k == 0 else None
+        frames += walked(start, end) if found is None else found
     return rate, frames
 
 
@@ -371,30 +454,33 @@ def media_column(docs: DataFrame, keep: list[str], name: str = "media") -> DataF
 
 
 def clip_rows(df: DataFrame, keep: list[str], media: str = "media", shots: Shots = Shots()) -> DataFrame:
-    """One row per clip of each AVI in ``media``: ``keep``, ``clip``, ``first_frame``, ``n_frames``, ``start_s``, ``end_s``.
+    """One row per clip of each AVI in ``media``: ``keep``, ``clip``, ``first_frame``, ``n_frames``, ``start_s``, ``end_s``, ``error``.
 
-    A null, empty or unreadable file has no clips.
+    A null or empty file has no clips and no row; one that cannot be read has a row with ``error`` and without a clip.
     """
     _util.ship(df.sparkSession)
-    fields = [*[df.schema[c] for c in keep], T.StructField("clip", T.IntegerType()), T.StructField("first_frame", T.LongType()), T.StructField("n_frames", T.LongType()), T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType())]
-    schema, kept = T.StructType(fields), len(keep)
+    made = [("clip", T.IntegerType(), pa.int32()), ("first_frame", T.LongType(), pa.int64()), ("n_frames", T.LongType(), pa.int64()), ("start_s", T.DoubleType(), pa.float64()), ("end_s", T.DoubleType(), pa.float64()), ("error", T.StringType(), pa.string())]
+    work = _util.packed(df, keep, _util.col(media).alias("m"))
+    schema = T.StructType([T.StructField(_util.KEPT, work.schema[_util.KEPT].dataType), *[T.StructField(n, k) for n, k, _ in made]])
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
                 source, rows = [], []
-                for i, raw in enumerate(b.column(kept).to_pylist()):
+                for i, raw in enumerate(b.column(1).to_pylist()):
+                    found: list = []
                     try:
-                        rate, frames = read_avi(raw) if raw else (25.0, [])
-                        found = clips(decode_flat(frames), rate, shots) if frames else []
-                    except (ValueError, struct.error, IndexError, KeyError, StopIteration):
-                        found = []
-                    for k, (a, e, s0, s1) in enumerate(found):
-                        source.append(i)
-                        rows.append((k, a, e - a, s0, s1))
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                taken = [c.take(pa.array(source, type=pa.int64())) for c in b.columns[:kept]]
-                yield pa.RecordBatch.from_arrays([*taken, *(pa.array([r[j] for r in rows], type=k) for j, k in enumerate(kinds))], names=[f.name for f in fields])
-
-    return df.select(*keep, media).mapInArrow(run, schema)
+                        if raw:
+                            rate, frames = read_avi(raw)
+                            found = [(k, a, e - a, s0, s1, None) for k, (a, e, s0, s1) in enumerate(clips(decode_flat(frames), rate, shots))] if frames else []
+                            if not frames:
+                                raise ValueError("no frames")
+                    except (ValueError, struct.error, IndexError, KeyError, StopIteration) as e:
+                        found = [(None,) * 5 + (f"{type(e).__name__}: {e}",)]
+                    source += [i] * len(found)
+                    rows += found
+                taken = b.column(0).take(pa.array(source, type=pa.int64()))
+                yield pa.RecordBatch.from_arrays([taken, *(pa.array([r[j] for r in rows], type=k) for j, (_, _, k) in enumerate(made))], names=schema.names)
+
+    return _util.unpacked(work.mapInArrow(run, schema), keep, {n: F.col(n) for n, _, _ in made})

@@ -288,12 +288,91 @@ def test_general_jpeg_with_ac_coefficients_and_restarts():
     assert image.shape == (8, 16) and (image[0, :8] == np.rint(wave)).all() and (image[:, 8:] == 128 - 24).all()
 
 
+# Some codes of the standard Huffman tables, as printed in annex K of T.81.
+DC_LUMA = {0: "00", 1: "010", 2: "011", 3: "100", 4: "101", 5: "110", 6: "1110", 7: "11110", 8: "111110"}
+DC_CHROMA = {0: "00", 1: "01", 2: "10", 3: "110", 4: "1110", 5: "11110", 6: "111110", 7: "1111110", 8: "11111110"}
+AC_LUMA = {0x00: "1010", 0x01: "00", 0x02: "01", 0x03: "100", 0x04: "1011", 0x11: "1100", 0xF0: "11111111001"}
+AC_CHROMA = {0x00: "00", 0x01: "01", 0x02: "100", 0x11: "1011", 0xF0: "1111111010"}
+
+
+def colour_frame(y, cb, cr):
+    """A 16x16 frame of four flat luma blocks (values less 128) and one block of each colour, without Huffman tables."""
+    seg = lambda m, b: struct.pack(">BBH", 0xFF, m, len(b) + 2) + b
+    head = b"\xff\xd8" + seg(0xE0, b"AVI1" + bytes(10)) + b"\xff" + seg(0xDB, b"\0" + b"\x08" * 64 + b"\1" + b"\x08" * 64)
+    head += seg(0xC0, struct.pack(">BHHB", 8, 16, 16, 3) + b"\x01\x22\x00\x02\x11\x01\x03\x11\x01") + seg(0xDA, b"\x03\x01\x00\x02\x11\x03\x11\x00\x3f\x00")
+    bits, last = "", 0
+
+    def dc(d, codes):
+        size = abs(d).bit_length()
+        return codes[size] + (f"{d if d > 0 else d + (1 << size) - 1:0{size}b}" if size else "")
+
+    for v in y:
+        bits += dc(v - last, DC_LUMA) + AC_LUMA[0x00]
+        last = v
+    bits += dc(cb, DC_CHROMA) + AC_CHROMA[0x00] + dc(cr, DC_CHROMA) + AC_CHROMA[0x00]
+    bits += "1" * (-len(bits) % 8)
+    return head + int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0") + b"\xff\xd9"
+
+
+def test_frames_in_colour_with_standard_tables():
+    tables = media_avi._standard()
+    for kind, codes in ((0x00, DC_LUMA), (0x01, DC_CHROMA), (0x10, AC_LUMA), (0x11, AC_CHROMA)):
+        assert len(tables[kind]) == (12 if kind < 16 else 162)
+        assert all(tables[kind][len(c), int(c, 2)] == s for s, c in codes.items())
+    luma, cb, cr = media_avi.decode_planes(colour_frame([10, -20, 30, 5], 7, -9))
+    assert luma.shape == cb.shape == cr.shape == (16, 16)
+    assert (luma[:8, :8] == 138).all() and (luma[:8, 8:] == 108).all() and (luma[8:, :8] == 158).all() and (luma[8:, 8:] == 133).all()
+    assert (cb == 135).all() and (cr == 119).all()
+    with pytest.raises(ValueError):
+        media_avi.decode_frame(colour_frame([1, 2, 3, 4], 0, 0).replace(b"\xff\xc0", b"\xff\xc2"))
+
+
+def test_indexes_from_the_file_start_and_further_parts():
+    frames = [colour_frame([k, k, k, k], 0, 0) for k in range(5)]
+    media = media_avi.write_avi(frames, size=(16, 16))
+    assert media_avi.read_avi(media) == (25, frames)
+    movi, at = media.index(b"movi"), media.index(b"idx1") + 8
+    absolute = bytearray(media)
+    for k in range(5):
+        place = struct.unpack_from("<I", absolute, at + 16 * k + 8)[0]
+        struct.pack_into("<I", absolute, at + 16 * k + 8, place + movi)
+    assert media_avi.read_avi(bytes(absolute))[1] == frames
+    assert media_avi.read_avi(media[: at - 8])[1] == frames  # cut off before the index
+    more = b"".join(media_avi._chunk(b"00dc", f) for f in frames)
+    assert media_avi.read_avi(media + media_avi._chunk(b"RIFF", b"AVIX" + media_avi._chunk(b"LIST", b"movi" + more)))[1] == frames * 2
+    assert media_avi.decode_flat(frames).tolist() == [[128 + k] * 4 for k in range(5)]
+
+
+def test_media_digests_by_hand(spark):
+    texts = [*ODD, "abc" * 200, "x" * 192, "x" * 193]
+    rows = {r.doc_id: r for r in media_avi.digests(docs(spark, texts), ["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + b" " * (192 - len(raw) % 192 if len(raw) % 192 or not raw else 0)
+        media, r = media_avi.store(t), rows[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest())
+        # The stored bytes are read back pixel by pixel, and shots found frame by frame.
+        frames = media_avi.read_avi(media)[1][:40]
+        assert b"".join(media_avi.decode_frame(f)[::8, ::8].tobytes() for f in frames) == payload[: 192 * len(frames)]
+        blocks = [payload[k : k + 192] for k in range(0, len(payload), 192)]
+        hist = [Counter(v >> 4 for v in b) for b in blocks]
+        d = [sum(abs(x[k] - y[k]) for k in range(16)) / 384 for x, y in zip(hist, hist[1:])]
+        cuts = [k + 1 for k in range(1, len(d)) if d[k] > max(0.1, np.mean(d[max(0, k - 8) : k]) + 2 * np.std(d[max(0, k - 8) : k]))]
+        edges = [0, *cuts, len(blocks)]
+        want = f"frames={len(blocks)};clips={len(edges) - 1};longest={max(np.diff(edges))};mean={np.mean(list(payload)):.4f};cuts={zlib.crc32(np.array(edges[:-1], dtype='<u4').tobytes())}"
+        assert r.feature == want
+
+
 def test_clips_find_a_cut_and_rows_are_timed(spark):
     still, other = np.full((20, 192), 40, np.uint8), np.full((10, 192), 200, np.uint8)
     assert [c[:2] for c in media_avi.clips(np.concatenate([still, other]), 25)] == [(0, 20), (20, 30)]
     df = media_avi.media_column(docs(spark, [" " * 192 * 20 + "z" * 192 * 10, None]), ["doc_id"]).unionByName(spark.createDataFrame([(7, bytearray(b"junk")), (8, None)], "doc_id long, media binary"))
     rows = sorted(map(tuple, media_avi.clip_rows(df, ["doc_id"]).collect()))
-    assert rows == [(0, 0, 0, 20, 0.0, 0.8), (0, 1, 20, 10, 0.8, 1.2), (1, 0, 0, 1, 0.0, 0.04)]
+    assert rows == [(0, 0, 0, 20, 0.0, 0.8, None), (0, 1, 20, 10, 0.8, 1.2, None), (1, 0, 0, 1, 0.0, 0.04, None), (7, None, None, None, None, None, "ValueError: not an AVI file")]
+    colour = media_avi.write_avi([colour_frame([k] * 4, 0, 0) for k in [0] * 12 + [90] * 8], size=(16, 16))
+    rows = sorted(map(tuple, media_avi.clip_rows(spark.createDataFrame([(1, bytearray(colour))], "clip long, m binary"), ["clip"], "m").collect()))
+    assert [r[:4] for r in rows] == [(1, 0, 0, 12), (1, 1, 12, 8)]
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
