@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 import zipfile
@@ -49,23 +50,47 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+_SCOPE: contextvars.ContextVar[list | None] = contextvars.ContextVar("scope", default=None)
+
+
+def save(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Within ``scratch`` the table goes when that ends, unless it ``stays``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/runstore-{name}-{uuid.uuid4().hex}"
+    if (scope := _SCOPE.get()) is not None and not stays:
+        scope.append((spark, path))
     with settings(spark, _WHILE_SAVING):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch():
+    """Tables saved inside are deleted at the end: what leaves must be saved to stay, and read no other."""
+    held: list = []
+    token = _SCOPE.set(held)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for spark, path in held:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete the files of tables made by ``save`` that no later plan reads."""
     for df in tables:
-        spark = df.sparkSession
         for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/runstore-" in root:
-                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                _delete(df.sparkSession, root)
 
 
 def ship(spark: SparkSession) -> None:

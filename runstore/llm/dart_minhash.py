@@ -388,7 +388,17 @@ def _left_links(members: DataFrame, labels: DataFrame, shapes: DataFrame, near:
 
 def _classes(docs: DataFrame, id_col: str, near: Near) -> DataFrame:
     """A row for each of ``docs``: ``_id``, ``_t``, ``class_id``, ``stands`` (for its class) and ``class_size``."""
-    signed = _util.save(signature_rows(docs, id_col, near), "signatures")
+    signed = _util.save(signature_rows(docs, id_col, near), "signatures", stays=True)
+    with _util.scratch():
+        class_of = _util.save(_class_of(docs, signed, id_col, near), "class-of", stays=True)
+    own = F.col("d1").isNull()
+    joined = signed.select("_id", "_t", "d1", "d2").join(class_of, ["d1", "d2"], "left")
+    stands = own | (F.col("_id").eqNullSafe(F.col("front._id")) & F.col("_t").eqNullSafe(F.col("front._t")))
+    return joined.select("_id", "_t", F.when(own, F.col("_id")).otherwise(F.col("front._id")).alias("class_id"), stands.alias("stands"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+
+
+def _class_of(docs: DataFrame, signed: DataFrame, id_col: str, near: Near) -> DataFrame:
+    """``d1``, ``d2``, ``front`` (the row that stands for the class) and ``class_size``."""
     front = F.struct(F.col("_id").isNull().alias("none"), "_id", "_t")  # rows with an id come first
     copies = signed.filter("d1 is not null").groupBy("d1", "d2").agg(F.min(front).alias("front"), F.count("*").alias("rows"), F.first("weight").alias("weight"), F.first("bands").alias("bands"))
     copies = _util.save(copies.withColumn("node", F.monotonically_increasing_id()), "copies")  # numbered once, by being saved
@@ -409,16 +419,11 @@ def _classes(docs: DataFrame, id_col: str, near: Near) -> DataFrame:
     extra = _util.save(_left_links(members, labels, shapes, near), "links")
     if extra.limit(1).count():
         labels = components(edges.union(extra))
-    _util.drop(members, central, hubs, shapes, edges, extra)
 
     # What every class has, by its label: the row that stands for it and its number of rows; then by each shingle set.
     labelled = copies.select("d1", "d2", "front", "rows", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     per = _util.save(labelled.groupBy("label").agg(F.min("front").alias("front"), F.sum("rows").alias("class_size")), "class-sizes")
-    class_of = _util.save(labelled.select("d1", "d2", "label").join(per, "label").select("d1", "d2", "front", "class_size"), "class-of")
-    own = F.col("d1").isNull()
-    joined = signed.select("_id", "_t", "d1", "d2").join(class_of, ["d1", "d2"], "left")
-    stands = own | (F.col("_id").eqNullSafe(F.col("front._id")) & F.col("_t").eqNullSafe(F.col("front._t")))
-    return joined.select("_id", "_t", F.when(own, F.col("_id")).otherwise(F.col("front._id")).alias("class_id"), stands.alias("stands"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    return labelled.select("d1", "d2", "label").join(per, "label").select("d1", "d2", "front", "class_size")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", near: Near = Near()) -> DataFrame:

@@ -183,6 +183,11 @@ def near_links(near: DataFrame, lines: Lines) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", lines: Lines = Lines()) -> DataFrame:
     """Per document with such lines: ``_id``, ``_t``, ``exact`` and ``near``, the numbers of the lines that go."""
+    with _util.scratch():
+        return _util.save(_gone(docs, id_col, lines), "gone", stays=True)
+
+
+def _gone(docs: DataFrame, id_col: str, lines: Lines) -> DataFrame:
     at = F.struct(*AT)
     places = _util.save(line_places(docs, id_col, lines), "lines")
     parts = [c for c in places.columns if c not in (*AT, "h", "g")]
@@ -197,8 +202,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", lines: Lines = Lines(
     # Saved, so that a line which is a third of all can be split in the join.
     going = places.select(*AT, "h", "g").join(_util.save(hit, "hits").hint("merge"), ["h", "g"])
     going = going.withColumn("exact", F.coalesce(at != F.col("first"), F.lit(False))).filter("exact or near").select(*AT, "exact")
-    gone = going.groupBy("_id", "_t").agg(F.collect_set(F.when(F.col("exact"), F.col("_no"))).alias("exact"), F.collect_set(F.when(~F.col("exact"), F.col("_no"))).alias("near"))
-    return _util.save(gone, "gone")
+    return going.groupBy("_id", "_t").agg(F.collect_set(F.when(F.col("exact"), F.col("_no"))).alias("exact"), F.collect_set(F.when(~F.col("exact"), F.col("_no"))).alias("near"))
 
 
 def _deduped(docs: DataFrame, id_col: str, lines: Lines) -> DataFrame:

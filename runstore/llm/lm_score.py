@@ -440,7 +440,7 @@ def score(docs: DataFrame, m: Model = Model(), id_col: str = "doc_id") -> DataFr
         made, sums = word_round(state, replies[-1], known[-1], s, base, buckets, m)
         replies.append(made)
         known.append(sums[:2])
-    _util.drop(state, *replies[: m.burn_in + 1])
+    _util.drop(state, *replies[: m.burn_in + 1])  # what is left is read by the result
     right = counts.withColumn("round", F.lit(0))
     for k in range(m.burn_in + 1, m.sweeps + 1):
         right = right.unionByName(replies[k].select("to", "source", "blob", F.lit(k).alias("round")))

@@ -192,7 +192,8 @@ def train(texts: list[str], labels: np.ndarray, rate_of_ones: float, s: Settings
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, s: Settings = Settings()) -> Model:
     """Learn ``labels.toxic`` from a bounded sample whose id remainder is not ``held_out``."""
     wanted = dict(_learn.sample_labels(labels, "toxic", modulus, held_out, s.per_class))
-    got = sorted((r.id, r.text or "") for r in _learn.texts_of(docs, list(wanted), s.sample_bytes, ["text"]).collect())
+    with _util.scratch():
+        got = sorted((r.id, r.text or "") for r in _learn.texts_of(docs, list(wanted), s.sample_bytes, ["text"]).collect())
     y = np.array([wanted[i] for i, _ in got], dtype=np.int64)
     return train([t for _, t in got], y, _learn.label_rate(labels, "toxic", modulus, held_out), s)
 

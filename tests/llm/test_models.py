@@ -446,12 +446,86 @@ def test_pipeline_stages_by_plain_python(spark, tmp_path):
     assert first == {i for i, t in texts.items() if ok(*quality_rules.measure(t))}
     second = {x.doc_id for x in seen[1].collect()}
     assert second <= first and len(second) > 0.9 * len(first)
-    third = {x.doc_id: x.text for x in seen[2].collect()}
-    want = slow_lines([(i, texts[i]) for i in sorted(second)], line_dedup.Lines())
-    assert third == {i: t for i, t in want.items() if t == texts[i] or t.strip()}
+    third, lines = {x.doc_id: x.text for x in seen[2].collect()}, line_dedup.Lines()
+    want = slow_lines([(i, texts[i]) for i in sorted(second)], lines)
+    assert third == {i: t for i, t in want.items() if t == texts[i] or t.strip() and len(t.encode()) >= lines.least_left * len(texts[i].encode())}
     ids = sorted(third)
     classes = slow_classes([third[i] for i in ids], dart_minhash.Near())
     fourth = {x.doc_id for x in seen[3].collect()}
     assert fourth == {ids[v] for v in classes.values()}
     assert {x.doc_id for x in seen[4].collect()} == fourth
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen[4].count()
+
+
+def operators(spark, folder):
+    """Every operator on a table, for its rows in any order; ``folder`` holds labels and documents."""
+    import public_tokenizers
+
+    from runstore.llm import bpe, line_dedup, media_avi, packing, quality_rules, sharding
+
+    lab, train = spark.read.parquet(f"{folder}/labels.parquet"), spark.read.parquet(f"{folder}/documents.parquet")
+    machine, model = quality_fm.fit(train, lab), toxicity.fit(train, lab)
+    path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = {
+        "judge": lambda d: quality_rules.judge(d, d.columns), "keep_good": quality_rules.keep_good, "dedup": line_dedup.dedup, "rewrite": line_dedup.rewrite,
+        "classes": dart_minhash.classes, "keep_one": dart_minhash.keep_one, "quality": lambda d: quality_fm.score(d, machine, d.columns), "quality_keep": lambda d: quality_fm.keep_good(d, machine),
+        "toxicity": lambda d: toxicity.score(d, model, d.columns), "media": lambda d: media_avi.digests(d, d.columns), "bpe": lambda d: bpe.digests(d, ranks, pattern, d.columns),
+        "packing": lambda d: packing.pack_documents(d, path, pattern).drop("sequence_id", "offset"), "shards": lambda d: sharding.assign(d, 3), "model": lambda d: lm_score.score(d),
+    }
+    return rows
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("small")
+    rng = np.random.default_rng(30)
+    words = [f"word{k}" for k in range(300)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(55, 90)))) for _ in range(30)]
+    texts += [texts[0], texts[1], texts[2] + " tail", "\n".join(texts[3:6]), *ODD, "# $ % " * 60]
+    docs(spark, texts).coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    labels(spark, [(i, int(i < 30), int(i % 7 == 0)) for i in range(len(texts))]).coalesce(1).write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_clashing_names_change_nothing(spark, small):
+    """Extra columns with every name that operators use inside, or give to what they make."""
+    from .test_text_ops import CLASHES
+
+    d = spark.read.parquet(f"{small}/documents.parquet")
+    more = d.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)])
+    for name, run in operators(spark, small).items():
+        one, two = run(d), run(more)
+        mine = [c for c in one.columns if c in two.columns and c not in CLASHES]
+        rows = [sorted(map(str, x.select(*mine).collect())) for x in (one, two)]
+        assert rows[0] == rows[1] and rows[0], name
+        if set(CLASHES) <= set(two.columns):
+            values = two.select(*["`" + c.replace("`", "``") + "`" for c in CLASHES]).distinct().collect()
+            assert [tuple(v) for v in values] == [tuple(range(len(CLASHES)))], name
+
+
+def test_every_operator_takes_nulls_everywhere_repeats_and_no_rows(spark, small):
+    d = spark.read.parquet(f"{small}/documents.parquet")
+    nothing = d.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in d.schema.fields]).limit(3)
+    odd = d.limit(3).unionByName(d.limit(3)).unionByName(nothing)
+    same = {"judge", "dedup", "classes", "quality", "toxicity", "media", "bpe", "shards", "model"}
+    for name, run in operators(spark, small).items():
+        assert run(d.limit(0)).count() == 0, name
+        n = run(odd).count()
+        assert n == 9 if name in same else n <= 9 or name == "packing", name
+
+
+def test_pipeline_takes_nulls_no_rows_and_clashing_names(spark, small, tmp_path):
+    import corpus_pipeline
+
+    from .test_text_ops import CLASHES
+
+    d = spark.read.parquet(f"{small}/documents.parquet")
+    nothing = d.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in d.schema.fields]).limit(2)
+    tables = {"whole": d, "odd": d.unionByName(nothing), "clash": d.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)]), "empty": d.limit(0)}
+    found = {}
+    for name, t in tables.items():
+        t.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{small}/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        found[name] = sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect())
+    assert found["whole"] and found["whole"] == found["clash"] == found["odd"] and not found["empty"]

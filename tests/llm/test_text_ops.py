@@ -414,3 +414,17 @@ def clashing(spark, texts):
     """A table whose other columns have the names that operators use inside."""
     df = docs(spark, texts)
     return df.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)])
+
+
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(_util, "shared_dir", lambda spark: f"file://{tmp_path}")
+    df = docs(spark, ["a b c d e f", "a b c d e g", "x\ny", "x"])
+    line_dedup.dropped_lines(df)
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["runstore-gone"]
+    kept = _util.save(df, "input", stays=True)
+    with _util.scratch():
+        made = _util.save(kept.limit(2), "a")
+        out = _util.save(made, "b", stays=True)
+    assert out.count() == 2 and not [p for p in tmp_path.iterdir() if p.name.startswith("runstore-a-")]
+    _util.drop(kept, out, spark.read.parquet(f"{DATA}/labels.parquet"))
+    assert len(list(tmp_path.iterdir())) == 1 and (DATA / "labels.parquet").exists()
