@@ -27,7 +27,7 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that an earlier document has, or has but for one word."""
+    """Texts without lines that an earlier document has, or has but for a word in five; remnants of copies go."""
     return line_dedup.rewrite(docs)
 
 
@@ -51,7 +51,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _util.table(spark, sf_dir, "documents")
+    docs = before = _util.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = _util.save(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        with _util.scratch():
+            docs = _util.save(stage(spark, before, sf_dir), f"stage-{name.replace(' ', '-')}", stays=True)
+        _util.drop(before)  # the input itself is no scratch table
+        before = docs
     return docs
