@@ -39,7 +39,7 @@ class Near:
     similarity: float = 0.8
     bands: int = 24
     rows: int = 5
-    block_bytes: int = 4 << 20  # shingle sets of a bucket that are compared with as many others in one go
+    block_bytes: int = 1 << 20  # shingle sets of a bucket that are compared with as many others in one go
     broadcast_bytes: int = 16 << 20  # keys of rows up to this size are broadcast; beyond, the join shuffles
 
     @property
