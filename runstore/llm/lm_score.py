@@ -225,7 +225,7 @@ def chunk_table(docs: DataFrame, m: Model, id_col: str = "doc_id") -> DataFrame:
     def run(batches):
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 24
-        ids, held, lens, parts, numbers, size = [], [], [], [], {}, 0
+        ids, held, lens, parts, numbers, size = [], [], [], [], _Numbers(), 0
 
         def out():
             nonlocal number
@@ -239,8 +239,6 @@ def chunk_table(docs: DataFrame, m: Model, id_col: str = "doc_id") -> DataFrame:
         for whole in batches:
             for at, (i, t) in enumerate(zip(whole.column(0).to_pylist(), whole.column(1).to_pylist(), strict=True)):
                 words = tokens_of(t)
-                for w in set(words).difference(numbers):
-                    numbers[w] = len(numbers)
                 parts.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words)))
                 ids.append(whole.column(0).slice(at, 1))
                 held.append(is_held_out(i, m))
@@ -248,7 +246,7 @@ def chunk_table(docs: DataFrame, m: Model, id_col: str = "doc_id") -> DataFrame:
                 size += len(t or "") + 1
                 if size > m.chunk_mb * 1e6:
                     yield out()
-                    ids, held, lens, parts, numbers, size = [], [], [], [], {}, 0
+                    ids, held, lens, parts, numbers, size = [], [], [], [], _Numbers(), 0
         if ids:
             yield out()
         pa.default_memory_pool().release_unused()
@@ -257,10 +255,18 @@ def chunk_table(docs: DataFrame, m: Model, id_col: str = "doc_id") -> DataFrame:
     return _util.save(docs.select(_util.col(id_col).alias("id"), F.col("text").cast("string")).mapInArrow(run, schema), "chunks")
 
 
+class _Numbers(dict):
+    """Numbers of words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Chunk:
-    """An unpacked chunk: texts, and the distinct (word, context) pairs of its tokens, in the order of their hashes.
+    """An unpacked chunk: texts, and the distinct (word, context) pairs of its tokens, in that order.
 
-    Words are in the order of their hashes, the start among them.
+    Words are in the order of their hashes, the start among them; ``order`` is that of the pairs' hashes.
     """
 
     def __init__(self, payload: bytes):
@@ -281,13 +287,17 @@ class Chunk:
         self.starts = np.cumsum(self.lens) - self.lens
         context[self.starts] = place[-1]
         keys, pair_of = np.unique(tokens << 32 | context, return_inverse=True)
-        self.key = pair_hash(self.hashes[keys >> 32], self.hashes[keys & 0xFFFFFFFF])
-        order = np.argsort(self.key, kind="stable")
-        turned = np.empty(len(order), dtype=np.int64)
-        turned[order] = np.arange(len(order))
-        self.pair_of, keys, self.key = turned[pair_of], keys[order], self.key[order]
-        self.word, self.context = keys >> 32, keys & 0xFFFFFFFF
-        self.trained = np.bincount(self.pair_of, weights=np.repeat(~self.held, self.lens), minlength=len(keys)).astype(np.int64)
+        self.pair_of, self.word, self.context = pair_of, keys >> 32, keys & 0xFFFFFFFF
+        self.key = pair_hash(self.hashes[self.word], self.hashes[self.context])
+        self.order = np.argsort(self.key, kind="stable")
+        self.trained = np.bincount(pair_of, weights=np.repeat(~self.held, self.lens), minlength=len(keys)).astype(np.int64)
+
+    def counted(self, replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """What the ranges say of the pairs: training counts, and whether this chunk's pair counts for all."""
+        _, _, (n, own) = received(replies, np.int64, bool)
+        out = np.empty_like(n), np.empty_like(own)
+        out[0][self.order], out[1][self.order] = n, own
+        return out
 
 
 BLOBS = "to long, source long, blob binary"
@@ -326,7 +336,7 @@ def pair_counts(chunks: DataFrame, buckets: int) -> DataFrame:
         for b in batches:
             for number, payload in zip(b.column(0), b.column(1), strict=True):
                 c = Chunk(payload.as_py())
-                yield from sent(number.as_py(), c.key, [c.trained], buckets).to_batches()
+                yield from sent(number.as_py(), c.key[c.order], [c.trained[c.order]], buckets).to_batches()
 
     def count(rows: pa.Table) -> pa.Table:
         bucket = rows.column("to")[0].as_py()
@@ -355,12 +365,12 @@ def states(chunks: DataFrame, counts: DataFrame) -> DataFrame:
         blobs, ones, twos = [], [], []
         for payload in left.column("payload").to_pylist():
             c = Chunk(payload)
-            _, _, (n, own) = received(right, np.int64, bool)
+            n, own = c.counted(right)
             v, many = len(c.hashes), n > 1
             add = lambda at, x, v=v: np.bincount(at, weights=x, minlength=v).astype(np.int64)
             once, own_n, t = (n == 1) & own, n * own, np.minimum(n, 1) * own
             sums = [add(at, x) for x in (once, own_n, t) for at in (c.word, c.context)]
-            blobs.append(pack(c.hashes, *sums, c.word[many].astype(np.int32), c.context[many].astype(np.int32), n[many], own[many]))
+            blobs.append(pack(c.hashes, *sums, np.diff(c.word[many].astype(np.int32), prepend=np.int32(0)), c.context[many].astype(np.int32), n[many], own[many]))
             ones.append(int(once.sum()))
             twos.append(int(((n == 2) & own).sum()))
         return pa.table({"to": pa.array(numbers, pa.int64()), "source": pa.array([OWN] * len(numbers), pa.int64()), "blob": pa.array(blobs, pa.binary()), "ones": pa.array(ones, pa.int64()), "twos": pa.array(twos, pa.int64())})
@@ -381,16 +391,19 @@ def word_round(state: DataFrame, before: DataFrame | None, known: tuple, s: int,
     def send(left: pa.Table, right: pa.Table | None = None) -> pa.Table:
         number = left.column("to")[0].as_py()
         hashes, once_w, once_c, n_w, n_c, t_w, t_c, word, context, n, own = unpack(left.column("blob")[0].as_py(), *STATE)
-        t = np.ones(len(n), dtype=np.int64)
-        if right is not None:
-            t, _, (tables, customers, _, rc, rt) = kept(right)
+        if right is None:
+            t, values = np.ones(len(n), dtype=np.int32), [t_c, t_w, n_c, n_w]
+            customers = counts = np.zeros(0, dtype=np.int64)
+        else:
+            word = np.cumsum(word)
+            t, customers, counts, tables, rc, rt = kept(right)
             totals = Totals(tables, customers, *known)
             p = totals.root(rc, rt, base, m)
             t = totals.seat(n, t, context, p[word], pair_hash(hashes[word], hashes[context]) + _steps(1000 * (s + 1)), m)
-            t_w, t_c = (once + np.bincount(at, weights=t * own, minlength=len(hashes)).astype(np.int64) for once, at in ((once_w, word), (once_c, context)))
+            values = [once + np.bincount(at, weights=t * own, minlength=len(hashes)).astype(np.int64) for once, at in ((once_c, context), (once_w, word))]
         # What is its own goes by a number of its own beyond the ranges.
-        mine = pa.table({"to": pa.array([buckets + number], pa.int64()), "source": pa.array([number], pa.int64()), "blob": pa.array([pack(t.astype(np.int32))], pa.binary())})
-        return pa.concat_tables([sent(number, hashes, [t_c, n_c, n_w, t_w], buckets), mine])
+        mine = pa.table({"to": pa.array([buckets + number], pa.int64()), "source": pa.array([number], pa.int64()), "blob": pa.array([pack(t.astype(np.int32), customers, counts)], pa.binary())})
+        return pa.concat_tables([sent(number, hashes, values, buckets), mine])
 
     def reply(rows: pa.Table) -> pa.Table:
         bucket = rows.column("to")[0].as_py()
@@ -398,10 +411,11 @@ def word_round(state: DataFrame, before: DataFrame | None, known: tuple, s: int,
             sources, blobs, sums = [bucket - buckets], rows.column("blob").to_pylist(), (0.0, 0.0, 0, 0, 0, 0)
             bucket = OWN
         else:
-            sources, edges, keys, number, values = merged(rows, 4)
-            tables, customers, n, rc = (np.bincount(number, weights=x).astype(np.int64) for x in values)
-            rt = np.minimum(rc, 1) if s < 0 else Totals(tables, customers, *known).seat_root(keys, rc, s, base, m)
-            blobs = [pack(*[x[number[a:b]] for x in (tables, customers, n, rc, rt)]) for a, b in zip(edges, edges[1:])]
+            sources, edges, keys, number, values = merged(rows, 4 if s < 0 else 2)
+            tables, rc, *more = (np.bincount(number, weights=x).astype(np.int64) for x in values)
+            rt = np.minimum(rc, 1) if s < 0 else Totals(tables, tables, *known).seat_root(keys, rc, s, base, m)
+            blobs = [pack(*[x[number[a:b]] for x in (tables, rc, rt, *more)]) for a, b in zip(edges, edges[1:])]
+            n = more[1] if more else np.zeros(0, np.int64)
             sums = float(rt.sum()), float(rc.sum()), int((n > 0).sum()), int(n.sum()), int((rc == 1).sum()), int((rc == 2).sum())
         only = lambda x: pa.array([x] + [type(x)(0)] * (len(blobs) - 1), pa.float64() if isinstance(x, float) else pa.int64())
         head = {"to": pa.array(sources, pa.int64()), "source": pa.array([bucket] * len(blobs), pa.int64()), "blob": pa.array(blobs, pa.binary())}
@@ -413,12 +427,17 @@ def word_round(state: DataFrame, before: DataFrame | None, known: tuple, s: int,
     return made, tuple(x or 0 for x in made.agg(*[F.sum(x) for x in ("rt", "rc", "v", "n", "ones", "twos")]).first())
 
 
-def kept(rows: pa.Table) -> tuple[np.ndarray, list, list[np.ndarray]]:
-    """A chunk's own tables, and what the ranges sent it."""
+def kept(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """A chunk's own tables; and for its words customers as a context, training counts, tables as a context, root customers and tables.
+
+    Customers and counts come from the ranges once, and are a chunk's own from then on.
+    """
     own = rows.column("source").to_numpy() == OWN
-    (t,) = unpack(rows.filter(pa.array(own)).column("blob")[0].as_py(), np.int32)
-    sources, _, arrays = received(rows.filter(pa.array(~own)), *[np.int64] * 5)
-    return t.astype(np.int64), sources, arrays
+    mine, sent_here = rows.filter(pa.array(own)).column("blob")[0].as_py(), rows.filter(pa.array(~own))
+    t, *known = unpack(mine, np.int32, *[np.int64] * 2)
+    _, _, (tables, rc, rt, *first) = received(sent_here, *[np.int64] * (3 if len(known[0]) else 5))
+    customers, counts = first or known
+    return t.astype(np.int64), customers, counts, tables, rc, rt
 
 
 def score(docs: DataFrame, m: Model = Model(), id_col: str = "doc_id") -> DataFrame:
@@ -438,9 +457,11 @@ def score(docs: DataFrame, m: Model = Model(), id_col: str = "doc_id") -> DataFr
     base, replies, known = 1.0 / (vocabulary + 1), [made], [(rt, rc)]
     for s in range(m.sweeps):
         made, sums = word_round(state, replies[-1], known[-1], s, base, buckets, m)
+        if s <= m.burn_in:  # what the result does not read goes at once
+            _util.drop(replies[-1])
         replies.append(made)
         known.append(sums[:2])
-    _util.drop(state, *replies[: m.burn_in + 1])  # what is left is read by the result
+    _util.drop(state)
     right = counts.withColumn("round", F.lit(0))
     for k in range(m.burn_in + 1, m.sweeps + 1):
         right = right.unionByName(replies[k].select("to", "source", "blob", F.lit(k).alias("round")))
@@ -448,10 +469,10 @@ def score(docs: DataFrame, m: Model = Model(), id_col: str = "doc_id") -> DataFr
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         c = Chunk(left.column("payload")[0].as_py())
         of_round = lambda k: right.filter(pa.array(right.column("round").to_numpy() == k))
-        _, _, (n, _) = received(of_round(0), np.int64, bool)
+        n, _ = c.counted(of_round(0))
         total, t, many = np.zeros(len(n)), np.minimum(n, 1), n > 1
         for k in range(m.burn_in + 1, m.sweeps + 1):
-            t[many], _, (tables, customers, count, rc, rt) = kept(of_round(k))
+            t[many], customers, count, tables, rc, rt = kept(of_round(k))
             after = Totals(tables, customers, *known[k])
             total += after.leaf(n, t, c.context, after.root(rc, rt, base, m)[c.word], m)
         count = count[c.word]
