@@ -11,9 +11,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..shipping import ship
 
 # Fixed values of the public hash definitions (MurmurHash3 x86 32-bit, FNV-1a 32-bit).
 C1, C2, N = 0xCC9E2D51, 0x1B873593, 0xE6546B64
@@ -52,37 +49,54 @@ def fnv1a_32(key: bytes) -> int:
     return h
 
 
+def _bytes(key: Column, start: Column, count: Column) -> Column:
+    """``count`` bytes of a binary column from ``start`` (from 0), as numbers."""
+    return F.when(count > 0, F.transform(F.sequence(start + 1, start + count), lambda i: F.conv(F.hex(F.substring(key, i, F.lit(1))), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+
 def fnv1a_column(key: Column) -> Column:
     """FNV-1a of a binary column as an expression, without Python."""
-    codes = F.transform(F.sequence(F.lit(1), F.octet_length(key)), lambda i: F.conv(F.hex(F.substring(key, i, F.lit(1))), 16, 10).cast("long"))
     step = lambda h, b: (h.bitwiseXOR(b) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(MASK))
-    return F.when(F.octet_length(key) == 0, F.lit(FNV_BASIS)).otherwise(F.aggregate(codes, F.lit(FNV_BASIS).cast("long"), step))
+    return F.aggregate(_bytes(key, F.lit(0), F.octet_length(key)), F.lit(FNV_BASIS).cast("long"), step)
 
 
-@F.pandas_udf(T.LongType())
-def murmur3_udf(keys: pd.Series) -> pd.Series:
-    return keys.map(lambda k: None if k is None else murmur3_32(bytes(k)))
+def _times(a: Column, c: int) -> Column:
+    """A product modulo 2**32 that stays below 2**63 on the way."""
+    low, high = a.bitwiseAND(F.lit(0xFFFF)) * F.lit(c), F.shiftright(a, 16) * F.lit(c)
+    return (low + F.shiftleft(high.bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(MASK))
 
 
-@F.pandas_udf(T.LongType())
-def fnv1a_udf(keys: pd.Series) -> pd.Series:
-    return keys.map(lambda k: None if k is None else fnv1a_32(bytes(k)))
+def _turned(a: Column, bits: int) -> Column:
+    return F.shiftleft(a, bits).bitwiseOR(F.shiftright(a, 32 - bits)).bitwiseAND(F.lit(MASK))
 
 
-def positions(key: Column, bits: int, hashes: int) -> Column:
-    """The bits of a binary key, as an array."""
+def murmur3_column(key: Column, seed: int = 0) -> Column:
+    """MurmurHash3 (x86, 32 bits) of a binary column as an expression, without Python."""
+    size = F.octet_length(key)
+    whole = F.expr("0") + size - F.pmod(size, F.lit(4))
+
+    def word(at: Column, count: Column) -> Column:  # little-endian
+        return F.aggregate(F.reverse(_bytes(key, at, count)), F.lit(0).cast("long"), lambda x, b: x * F.lit(256) + b)
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def run(keys: pd.Series) -> pd.Series:
-        pairs = [(murmur3_32(bytes(k)), fnv1a_32(bytes(k))) for k in keys]
-        return pd.Series([[(h1 + i * h2) % bits for i in range(hashes)] for h1, h2 in pairs])
+    def mixed(k: Column) -> Column:
+        return _times(_turned(_times(k, C1), 15), C2)
 
-    return run(key)
+    starts = F.when(whole > 0, F.sequence(F.lit(0), whole - 4, F.lit(4))).otherwise(F.array().cast("array<int>"))
+    h = F.aggregate(starts, F.lit(seed).cast("long"), lambda h, at: (_turned(h.bitwiseXOR(mixed(word(at, F.lit(4)))), 13) * F.lit(5) + F.lit(N)).bitwiseAND(F.lit(MASK)))
+    last = [lambda h: h.bitwiseXOR(mixed(word(whole, size - whole))).bitwiseXOR(size.cast("long"))]
+    last += [lambda h: _times(h.bitwiseXOR(F.shiftright(h, 16)), F1), lambda h: _times(h.bitwiseXOR(F.shiftright(h, 13)), F2), lambda h: h.bitwiseXOR(F.shiftright(h, 16))]
+    for f in last:  # each step names its input several times, so it is held in an array of one
+        h = F.get(F.transform(F.array(h), f), F.lit(0))
+    return h
+
+
+def positions(key: Column, bits: int, hashes: int) -> Column:
+    """The bits of a binary key, as an array: h1 + i * h2 modulo the number of bits."""
+    return F.transform(F.array(F.struct(murmur3_column(key).alias("a"), fnv1a_column(key).alias("b"))), lambda h: F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(h["a"] + i.cast("long") * h["b"], F.lit(bits).cast("long"))))[0]
 
 
 def build(keys: DataFrame, column: str, bits: int, hashes: int) -> DataFrame:
     """The set bits, one row each: a filter of any size stays distributed."""
-    ship(keys.sparkSession)
     return keys.select(F.explode(positions(F.col(column).cast("binary"), bits, hashes)).alias("position")).distinct()
 
 
@@ -103,7 +117,6 @@ def deserialize(spark, data: bytes) -> DataFrame:
 
 def probe(wanted: DataFrame, column: str, bits_set: DataFrame, bits: int, hashes: int) -> DataFrame:
     """``column`` and ``may_contain`` for every distinct wanted key: all its bits are set."""
-    ship(wanted.sparkSession)
     want = wanted.select(column).distinct()
     want = want.select(column, F.explode(F.array_distinct(positions(F.col(column).cast("binary"), bits, hashes))).alias("position"))
     return want.join(bits_set.withColumn("_set", F.lit(True)), "position", "left").groupBy(column).agg(F.min(F.coalesce("_set", F.lit(False))).alias("may_contain"))

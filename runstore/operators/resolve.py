@@ -51,6 +51,14 @@ def multi_get(ops: DataFrame, wanted: DataFrame, keys: Sequence[str] = ("key",))
     return snapshot(ops.join(wanted.select(*keys).distinct(), list(keys), "left_semi"), keys)
 
 
+def lookup_many(ops: DataFrame, wanted: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:
+    """Every wanted key with its ``state``: live, deleted or unknown."""
+    want = wanted.select(*keys).distinct()
+    newest = latest_per_key(ops.join(want, list(keys), "left_semi"), keys).select(*keys, TOMBSTONE)
+    state = F.when(F.col(TOMBSTONE).isNull(), "unknown").when(F.col(TOMBSTONE), "deleted").otherwise("live")
+    return want.join(newest, list(keys), "left").select(*keys, state.alias("state"))
+
+
 def sorted_scan(resolved: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:
     """Rows in key order (bytes compare unsigned)."""
     return resolved.orderBy(*keys)
@@ -84,6 +92,12 @@ def remove_physical(rows: DataFrame, gone: DataFrame, keys: Sequence[str] = ("ke
     return rows.join(gone.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def existed(rows: DataFrame, gone: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:
+    """Every key of ``gone`` and whether ``rows`` had it, as a physical removal reports."""
+    have = rows.select(*keys).distinct().withColumn("existed", F.lit(True))
+    return gone.select(*keys).distinct().join(have, list(keys), "left").select(*keys, F.coalesce("existed", F.lit(False)).alias("existed"))
+
+
 def layered(tail: DataFrame, runs: DataFrame | None, keys: Sequence[str] = ("key",), order=None) -> DataFrame:
     """Latest per key over the unflushed tail and the runs."""
     return latest_per_key(tail if runs is None else tail.unionByName(runs), keys, order)

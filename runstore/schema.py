@@ -16,12 +16,13 @@ class Options:
 
     keys: tuple[str, ...] = ("key",)
     values: tuple[str, ...] = ("value",)
-    memtable_capacity: int = 4 * 1024 * 1024  # payload bytes of the unflushed tail
-    compaction_threshold: int = 4
+    memtable_capacity: int = 4 * 1024 * 1024  # payload bytes of the unflushed log
+    compaction_threshold: int = 4  # runs of one level that are merged into one of the next
     bloom: bool = True
     bloom_fpp: float = 0.01
     run_partitions: int | None = None  # default: spark.sql.shuffle.partitions
     retain: int = field(default=2)  # manifest versions whose files ``vacuum`` keeps
+    vacuum_age: float = 3600.0  # seconds that a file nobody names yet is left alone
 
     def __post_init__(self):
         if self.compaction_threshold < 2:

@@ -4,15 +4,25 @@ Little-endian. Log record: u32 key size (top bit: tombstone), key, u32 value siz
 key, u32 value size, value; index records u32 key size, key, u64 offset; bloom bytes; a footer of u64 index offset,
 u64 bloom offset, u32 hash count, u32 bit count, u32 bloom bytes. In a run a tombstone is the value of the one byte
 0xFF, so that byte cannot be stored as a value there; ``run_bytes`` refuses it.
+
+Readers take any path that Spark reads and parse a file record by record; ``RunFile`` finds a key by bloom filter, index and one
+record. Writers are a data source of their own, which writes a file for each task through ``pyarrow.fs``.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import struct
+import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..functions import bloom
 
@@ -79,17 +89,60 @@ def parse_run(data: bytes) -> Iterator[tuple[bytes, bytes | None, bool]]:
         at += 8 + n + m
 
 
+class RunFile:
+    """A run file's footer, index and bloom filter, and lookups by them."""
+
+    def __init__(self, data: bytes):
+        if len(data) < FOOTER.size:
+            raise ValueError("run file too small")
+        self.data = data
+        self.index_at, self.bloom_at, self.hashes, self.bits, self.bloom_bytes = FOOTER.unpack_from(data, len(data) - FOOTER.size)
+        if not self.index_at <= self.bloom_at <= self.bloom_at + self.bloom_bytes <= len(data) - FOOTER.size:
+            raise ValueError("run file with a broken footer")
+        self.filter = data[self.bloom_at : self.bloom_at + self.bloom_bytes]
+        self._index: list[tuple[bytes, int]] | None = None
+
+    @property
+    def index(self) -> list[tuple[bytes, int]]:
+        """Keys in order, with their records' offsets; read when first asked for."""
+        if self._index is None:
+            self._index, at = [], self.index_at
+            while at < self.bloom_at:
+                n = struct.unpack_from("<I", self.data, at)[0]
+                self._index.append((self.data[at + 4 : at + 4 + n], struct.unpack_from("<Q", self.data, at + 4 + n)[0]))
+                at += 12 + n
+        return self._index
+
+    def may_contain(self, key: bytes) -> bool:
+        h1, h2 = bloom.murmur3_32(key), bloom.fnv1a_32(key)
+        places = ((h1 + i * h2) % self.bits for i in range(self.hashes))
+        return all(self.filter[p >> 3] >> (p & 7) & 1 for p in places)
+
+    def record(self, at: int) -> tuple[bytes, bytes | None, bool]:
+        n = struct.unpack_from("<I", self.data, at)[0]
+        m = struct.unpack_from("<I", self.data, at + 4 + n)[0]
+        value = self.data[at + 8 + n : at + 8 + n + m]
+        return self.data[at + 4 : at + 4 + n], None if value == TOMBSTONE_VALUE else value, value == TOMBSTONE_VALUE
+
+    def get(self, key: bytes) -> tuple[bytes, bytes | None, bool] | None:
+        if not self.may_contain(key):
+            return None
+        k = bisect.bisect_left(self.index, (key, 0))
+        return self.record(self.index[k][1]) if k < len(self.index) and self.index[k][0] == key else None
+
+
 def _read(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
+    """Rows that ``parse`` makes of each file's bytes, beside the file's path, in batches as they come."""
+    fields = [c.split() for c in schema.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+
     def run(batches):
         for whole in batches:
             for name, data in zip(whole.column(0).to_pylist(), whole.column(1).to_pylist(), strict=True):
-                records = list(enumerate(parse(data)))
-                for a in range(0, max(1, len(records)), 10_000):
-                    part = records[a : a + 10_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(part), pa.string()), pa.array([i for i, _ in part], pa.int64()), *(pa.array([r[j] for _, r in part], k) for j, k in enumerate((pa.binary(), pa.binary(), pa.bool_())))],
-                        names=[c.split()[0] for c in schema.split(", ")],
-                    )
+                records = parse(data)
+                while part := list(itertools.islice(records, 10_000)):
+                    columns = [[name] * len(part), *zip(*part, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
     from ..shipping import ship
 
@@ -99,9 +152,112 @@ def _read(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Records of all log files under ``path``; ``seq`` is the place in the file."""
-    return _read(spark, path, parse_log, LOG_SCHEMA)
+    return _read(spark, path, lambda data: ((i, *r) for i, r in enumerate(parse_log(data))), LOG_SCHEMA)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Entries of all run files under ``path``, in key order within a file."""
-    return _read(spark, path, parse_run, RUN_SCHEMA)
+    return _read(spark, path, lambda data: ((i, *r) for i, r in enumerate(parse_run(data))), RUN_SCHEMA)
+
+
+def read_run_index(spark: SparkSession, path: str) -> DataFrame:
+    """``path``, ``key`` and ``offset`` of every index entry."""
+    return _read(spark, path, lambda data: iter(RunFile(data).index), "path string, key binary, offset long")
+
+
+def read_run_footers(spark: SparkSession, path: str) -> DataFrame:
+    """``path``, offsets of index and bloom filter, its hashes, bits and bytes: one row a file."""
+    def parse(data: bytes):
+        f = RunFile(data)
+        return iter([(f.index_at, f.bloom_at, f.hashes, f.bits, f.filter)])
+
+    return _read(spark, path, parse, "path string, index_offset long, bloom_offset long, num_hashes long, num_bits long, bloom binary")
+
+
+def lookup_runs(spark: SparkSession, path: str, keys: list[bytes]) -> DataFrame:
+    """Entries of a short list of keys in every run file under ``path``, each found by bloom filter, index and one record.
+
+    For many keys join with ``read_runs``.
+    """
+    def parse(data: bytes):
+        f = RunFile(data)
+        return iter([r for r in map(f.get, keys) if r is not None])
+
+    return _read(spark, path, parse, "path string, key binary, value binary, is_tombstone boolean")
+
+
+class _Writer(DataSourceArrowWriter):
+    """Writes a task's rows (key, value, is_tombstone) to one file; the files of a job that fails are deleted."""
+
+    def __init__(self, path: str, kind: str):
+        self.path, self.kind = path, kind
+
+    def write(self, batches):
+        records = ((bytes(k), None if v is None else bytes(v), d) for b in batches for k, v, d in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        fs, where = fs_of(self.path)
+        name = f"{where}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.{self.kind}"
+        fs.create_dir(where, recursive=True)
+        with fs.open_output_stream(name) as out:
+            for part in log_bytes(records) if self.kind == "log" else [run_bytes(list(records))]:
+                out.write(part)
+        return _Wrote(name)
+
+    def commit(self, messages):
+        pass
+
+    def abort(self, messages):
+        fs, _ = fs_of(self.path)
+        for m in messages:
+            if m is not None:
+                fs.delete_file(m.name)
+
+
+@dataclass
+class _Wrote(WriterCommitMessage):
+    name: str
+
+
+class _Source(DataSource):
+    KIND = ""
+
+    @classmethod
+    def name(cls) -> str:
+        return f"runstore_{cls.KIND}"
+
+    def schema(self) -> str:
+        return "key binary, value binary, is_tombstone boolean"
+
+    def writer(self, schema, overwrite: bool) -> _Writer:
+        return _Writer(self.options["path"], self.KIND)
+
+
+class LogSource(_Source):
+    KIND = "log"
+
+
+class RunSource(_Source):
+    KIND = "run"
+
+
+def fs_of(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+def _write(rows: DataFrame, path: str, source: type[_Source]) -> None:
+    from ..shipping import ship
+
+    ship(rows.sparkSession)
+    rows.sparkSession.dataSource.register(source)
+    rows.select(F.col("key").cast("binary"), F.col("value").cast("binary"), "is_tombstone").write.format(source.name()).mode("append").save(path)
+
+
+def write_log(ops: DataFrame, path: str, order: str = "seq") -> None:
+    """A change log (``key``, ``value``, ``is_tombstone``) as log files, each a range of ``order`` in its order."""
+    _write(ops.repartitionByRange(order).sortWithinPartitions(order), path, LogSource)
+
+
+def write_runs(entries: DataFrame, path: str) -> None:
+    """Entries with unique keys as run files, each a range of keys in their order, with index and bloom filter."""
+    _write(entries.withColumn("key", F.col("key").cast("binary")).repartitionByRange("key").sortWithinPartitions("key"), path, RunSource)

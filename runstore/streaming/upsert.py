@@ -11,14 +11,14 @@ from ..schema import SEQ, TOMBSTONE
 
 
 def upsert_stream(ops: DataFrame, table: KeyedTable, checkpoint: str, trigger: dict | None = None):
-    """Writes a streaming change log into ``table``. A batch that was already applied is skipped, so restarts are exact.
+    """Writes a streaming change log into ``table``. The manifest holds the last batch, so restarts are exact.
 
-    ``seq`` must grow from batch to batch, as with offsets of a log.
+    Rows may arrive in any order: the greatest ``seq`` of a key wins. A batch with rows so old that tombstones newer than
+    they may have been dropped stops the query with ``ValueError``; nothing is left out.
     """
 
-    def apply(batch: DataFrame, _: int) -> None:
-        fresh = batch.filter(F.col(SEQ) > table.manifest.last_seq)
-        table.apply(resolve.latest_per_key(fresh, table.options.keys))
+    def apply(batch: DataFrame, number: int) -> None:
+        table.apply(resolve.latest_per_key(batch, table.options.keys), late=True, batch=(checkpoint, number))
 
     return ops.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

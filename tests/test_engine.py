@@ -1,6 +1,7 @@
 """Behaviour of keyed tables, logs, runs, compaction, recovery and bloom filters."""
 
 import random
+import struct
 from pathlib import Path
 
 import duckdb
@@ -11,8 +12,8 @@ from pyspark.sql import types as T
 from runstore.functions import bloom
 from runstore.operators import metrics, resolve
 from runstore.plans import catalogue
-from runstore.plans.manifest import Conflict, Manifest, Run, dumps, loads
-from runstore.plans.table import KeyedTable
+from runstore.plans.manifest import Conflict, Manifest, Run, Segment, dumps, loads
+from runstore.plans.table import KeyedTable, Maintenance
 from runstore.schema import Options
 from runstore.sources import formats
 
@@ -159,8 +160,8 @@ def test_run_added_during_compaction_stays(spark, tmp_path):
         t.flush()
     write = t._write_run
 
-    def meanwhile(rows, level):
-        run = write(rows, level)
+    def meanwhile(*args):
+        run = write(*args)
         t._write_run = write
         other = KeyedTable(spark, str(tmp_path / "t"), S, Options(compaction_threshold=9))
         other.manifest = other.store.read()
@@ -175,8 +176,159 @@ def test_run_added_during_compaction_stays(spark, tmp_path):
 
 
 def test_manifest_round_trip():
-    m = Manifest(3, 2, 9, 8, ((9, "p"),), (Run(1, "q", 4, b"\x00", b"\xff", 8),))
-    assert loads(dumps(m)) == m
+    import datetime
+    from decimal import Decimal
+
+    for low, high in ((b"\x00", b"\xff"), ("a", "z"), (1, 9), (datetime.date(2024, 1, 2), datetime.date(2025, 1, 2)), (datetime.datetime(2024, 1, 2, 3, 4, 5, 6), None), (Decimal("1.50"), Decimal(7)), (1.5, True)):
+        m = Manifest(3, 2, 9, 8, 4, (Segment(9, "p", 10, 2, 9),), (Run(1, "q", 4, low, high, 8, 1, 3),), {"s": 4})
+        assert loads(dumps(m)) == m
+
+
+def test_tables_by_dates_timestamps_and_decimals(spark, tmp_path):
+    for kind, values in (("date", ["2024-01-01", "2024-03-01"]), ("timestamp", ["2024-01-01 10:00:00", "2024-03-01 00:00:00"]), ("decimal(9,2)", ["1.50", "22.00"])):
+        schema = T.StructType([T.StructField("key", spark.range(1).selectExpr(f"cast(null as {kind}) k").schema["k"].dataType), T.StructField("value", T.StringType())])
+        t = KeyedTable.open(spark, str(tmp_path / kind[:4]), schema)
+        t.write(spark.createDataFrame([(v, v) for v in values], "key string, value string").withColumn("key", F.col("key").cast(kind)))
+        t.flush()
+        again = KeyedTable.open(spark, str(tmp_path / kind[:4]), schema)
+        assert {r["value"] for r in again.multi_get(again.snapshot()).collect()} == set(values)
+        low = again.manifest.runs[0].min_key
+        assert again.get(low) == values[0] and again.versions(low, low).count() == 2
+
+
+def test_handles_see_each_other_and_conflicts_are_planned_again(spark, tmp_path):
+    one, two = (KeyedTable.open(spark, str(tmp_path / "t"), S, Options(compaction_threshold=9)) for _ in range(2))
+    one.put("a", "1")
+    assert two.get("a") == "1"
+    two.put("a", "2")
+    one.put("b", "1")
+    assert as_dict(one.snapshot()) == as_dict(two.snapshot()) == {"a": "2", "b": "1"}
+    publish, races = one.store.publish, []
+
+    def lose_once(m):
+        if not races:
+            races.append(m.version)
+            two.put("c", "from two")
+        return publish(m)
+
+    one.store.publish = lose_once
+    one.put("c", "from one")  # comes after, so it counts
+    assert races and one.get("c") == two.get("c") == "from one" and one.refresh().last_seq == 5
+    races.clear()
+    one.flush()
+    assert races and as_dict(two.snapshot())["c"] == "from two" and not two.refresh().log
+    races.clear()
+    one.compact()
+    assert races and as_dict(one.snapshot()) == {"a": "2", "b": "1", "c": "from two"}
+    assert len(list((tmp_path / "t" / "log").iterdir())) == 7  # segments of lost races are deleted
+
+
+def test_versions_are_taken_once(spark, tmp_path):
+    t = KeyedTable.open(spark, str(tmp_path / "t"), S)
+    t.put("a", "1")
+    t.store.versions = lambda: [0]  # as if both had looked at once
+    with pytest.raises(Conflict):
+        t.store.publish(Manifest(version=1))
+    assert [p.name for p in (tmp_path / "t" / "manifest").iterdir() if not p.name.startswith(".")] == ["v000000000001.json"]
+
+
+def test_vacuum_leaves_young_files_and_drops_old_manifests(spark, tmp_path):
+    t = KeyedTable.open(spark, str(tmp_path / "t"), S, Options(compaction_threshold=9))
+    for k in "abcd":
+        t.put(k, k)
+        t.flush()
+    t.compact()
+    assert t.vacuum() == [] and len(t.store.versions()) == 2
+    assert len(t.vacuum(0)) == 4  # the segments: the version before the last still names the runs
+    assert as_dict(t.snapshot()) == {k: k for k in "abcd"}
+
+
+def test_levels(spark, tmp_path):
+    t = KeyedTable.open(spark, str(tmp_path / "t"), S, Options(compaction_threshold=2, memtable_capacity=1))
+    for i in range(7):
+        t.put(f"k{i % 3}", str(i))
+    assert [r.level for r in t.manifest.runs] == [2, 1, 0]
+    t.remove("k0")
+    assert [r.level for r in t.manifest.runs] == [3] and as_dict(t.snapshot()) == {"k1": "4", "k2": "5"}
+    assert t.run(t.manifest.runs[0].run_id).count() == 2  # the oldest run took part, so the tombstone went
+    plan = resolve.latest_per_key(t.versions().repartitionByRange(4, "key"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_partial_merges_keep_tombstones_and_late_rows_are_told(spark, tmp_path):
+    t = KeyedTable.open(spark, str(tmp_path / "t"), S, Options(compaction_threshold=9))
+    row = lambda seq, key, value: ops(spark, [(key, value)]).withColumn("seq", F.lit(seq).cast("long"))
+    for seq, key, value in ((10, "a", "1"), (20, "a", None), (30, "b", "2")):
+        t.apply(row(seq, key, value))
+        t.flush()
+    t.compact(t.refresh().runs[1:])
+    assert t.entries().filter("is_tombstone").count() == 1 and as_dict(t.snapshot()) == {"b": "2"}
+    t.apply(row(15, "c", "late"), late=True)
+    t.flush()
+    t.compact(t.refresh().runs[:2])  # the tombstone of 20 may hide something as old as 15
+    assert t.entries().filter("is_tombstone").count() == 1
+    t.compact()
+    assert t.entries().filter("is_tombstone").count() == 0 and as_dict(t.snapshot()) == {"b": "2", "c": "late"}
+    with pytest.raises(ValueError):
+        t.apply(row(18, "a", "back"), late=True)
+    t.apply(row(40, "a", "new"), batch=("s", 3))
+    t.apply(row(50, "a", "again"), batch=("s", 3))
+    assert t.get("a") == "new"
+
+
+def test_maintenance_beside_writes(spark, tmp_path):
+    t = KeyedTable.open(spark, str(tmp_path / "t"), S, Options(compaction_threshold=2, memtable_capacity=1))
+    calls = []
+    t.on_compaction.append(lambda new, old: calls.append(len(old)))
+    m = Maintenance(t).start()
+    for i in range(4):
+        t.put(f"k{i}", str(i))
+    assert m.wait(60)
+    m.stop()
+    assert calls and len(t.refresh().runs) < 4 and as_dict(t.snapshot()) == {f"k{i}": str(i) for i in range(4)}
+
+
+def test_cursor_and_states(spark, tmp_path):
+    t = KeyedTable.open(spark, str(tmp_path / "t"), S)
+    t.write(spark.createDataFrame([(k, k) for k in ("k_2", "k_10", "a", "Z")], S))
+    t.remove("a")
+    assert [r["key"] for r in t.iterate()] == ["Z", "k_10", "k_2"] and [r["key"] for r in t.iterate("k_10")] == ["k_10", "k_2"]
+    wanted = spark.createDataFrame([("a",), ("Z",), ("none",)], "key string")
+    assert {(r["key"], r["state"]) for r in t.lookup_many(wanted).collect()} == {("a", "deleted"), ("Z", "live"), ("none", "unknown")}
+    assert {(r["key"], r["existed"]) for r in resolve.existed(t.snapshot(), wanted).collect()} == {("a", False), ("Z", True), ("none", False)}
+
+
+def test_hash_columns_against_the_definitions(spark):
+    rng = random.Random(5)
+    keys = [b"", b"a", b"abc", b"abcd", b"key_0", *(bytes(rng.randrange(256) for _ in range(n)) for n in range(1, 24))]
+    rows = spark.createDataFrame([(bytearray(k),) for k in keys], "k binary").select("k", bloom.murmur3_column(F.col("k")).alias("m"), bloom.fnv1a_column(F.col("k")).alias("f"), bloom.positions(F.col("k"), 958, 6).alias("p"))
+    for r in rows.collect():
+        key = bytes(r["k"])
+        a, b = bloom.murmur3_32(key), bloom.fnv1a_32(key)
+        assert (r["m"], r["f"], r["p"]) == (a, b, [(a + i * b) % 958 for i in range(6)])
+
+
+def test_binary_sinks_and_lookups(spark, tmp_path):
+    log = ops(spark, [(f"k{i % 40:03d}", None if i % 5 == 0 else f"v{i}") for i in range(200)])
+    formats.write_log(log, str(tmp_path / "log"))
+    rows = sorted(formats.read_log(spark, str(tmp_path / "log")).collect(), key=lambda r: (r["path"], r["seq"]))
+    assert [(bytes(r["key"]).decode(), None if r["is_tombstone"] else bytes(r["value"]).decode()) for r in rows] == [(r["key"], r["value"]) for r in log.orderBy("seq").collect()]
+    entries = resolve.latest_per_key(log)
+    formats.write_runs(entries, f"file://{tmp_path}/runs")
+    want = {r["key"]: r["value"] for r in entries.collect()}
+    got = formats.read_runs(spark, str(tmp_path / "runs"))
+    assert {bytes(r["key"]).decode(): None if r["value"] is None else bytes(r["value"]).decode() for r in got.collect()} == want
+    found = formats.lookup_runs(spark, str(tmp_path / "runs"), [b"k003", b"k005", b"zzz", b""]).collect()
+    assert {bytes(r["key"]).decode() for r in found} == {"k003", "k005"} and {r["is_tombstone"] for r in found} == {want["k003"] is None, want["k005"] is None}
+    assert formats.read_run_index(spark, str(tmp_path / "runs")).count() == 40
+    footers = formats.read_run_footers(spark, str(tmp_path / "runs")).collect()
+    files = [p for p in (tmp_path / "runs").iterdir() if p.suffix == ".run"]
+    assert len(footers) == len(files) and all(len(r["bloom"]) == (r["num_bits"] + 7) // 8 for r in footers)
+    f = formats.RunFile(max(files, key=lambda p: p.stat().st_size).read_bytes())
+    assert all(f.get(k)[0] == k for k, _ in f.index) and f.get(b"none") is None
+    for broken in (b"", f.data[:-1], f.data[: len(f.data) // 2]):
+        with pytest.raises((ValueError, struct.error)):
+            formats.RunFile(broken)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
