@@ -60,11 +60,13 @@ class _Known(dict):
         return made
 
 
-class WordIds:
-    """Little-endian 32-bit ids of whole texts by a ``tokenizers`` file, with the ids of each distinct part kept.
+class TextIds:
+    """Little-endian 32-bit ids of whole texts by a ``tokenizers`` file.
 
     A text is cut at the strings of the file's added tokens, the longest first, and between them by ``pattern`` as the
-    file's byte-level pre-tokenizer does. No merge crosses a part, so the file's model is asked once for each distinct one.
+    file's byte-level pre-tokenizer does. Where the file's merges are in the order of their tokens' ids, ``tiktoken`` encodes
+    what is between in less than half of the time, with the same ids; it takes a token's whole text for that token, so the
+    file's model is asked beforehand whether it does as well. Else the model is asked, once for each distinct part.
     """
 
     MEMORY = 250_000
@@ -73,29 +75,48 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread: the task's core is all there is
         from tokenizers import Tokenizer
 
-        self.find_all = regex.compile(pattern).findall
-        self.memory = _Known(Tokenizer.from_file(path).model)
         with open(path, encoding="utf-8") as f:
-            added = json.load(f).get("added_tokens") or []
+            file = json.load(f)
+        added, model = file.get("added_tokens") or [], Tokenizer.from_file(path).model
         if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in added):
             raise ValueError("added tokens that take spaces with them, stand for whole words or are normalised are not supported")
         self.added = {t["content"]: struct.pack("<I", t["id"]) for t in added if t["content"]}
-        longest_first = sorted(self.added, key=len, reverse=True)
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")").split if added else lambda text: [text]
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split
+        self.find_all, self.memory = regex.compile(pattern).findall, _Known(model)
+        ranks = ranks_of(file["model"], model)
+        self.fast = None
+        if ranks:
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, text: str) -> bytes:
+        cut = self.cut(text) if any(map(text.__contains__, self.added)) else [text]
+        return b"".join([self.added[part] if k % 2 else self.between(part) for k, part in enumerate(cut)])  # every second one is added
+
+    def between(self, text: str) -> bytes:
+        if self.fast is not None:
+            return np.array(self.fast(text), dtype="<u4").tobytes()
         if len(self.memory) > self.MEMORY:
             self.memory.clear()
-        known, made = self.memory.__getitem__, []
-        for k, part in enumerate(self.cut(text)):  # every second one is an added token
-            if k % 2:
-                made.append(self.added[part])
-            else:
-                made += map(known, self.find_all(part))
-        return b"".join(made)
+        return b"".join(map(self.memory.__getitem__, self.find_all(text)))
+
+
+def ranks_of(described: dict, model) -> dict[bytes, int] | None:
+    """Ids by the bytes of the tokens, if merging the pair of least id first is what the file's model does; else None."""
+    vocabulary, merges = described.get("vocab") or {}, described.get("merges") or []
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    first = len(vocabulary) - len(merges)
+    if described.get("type") != "BPE" or any(described.get(k) for k in odd) or first != 256:
+        return None
+    joined = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in merges]
+    if any(vocabulary.get(m) != first + k for k, m in enumerate(joined)) or any([t.id for t in model.tokenize(t)] != [i] for t, i in vocabulary.items()):
+        return None
+    byte_of = {c: bytes([b]) for b, c in enumerate(byte_letters())}
+    return {b"".join(map(byte_of.__getitem__, t)): i for t, i in vocabulary.items()}
 
 
-_ENCODERS: dict[tuple[str, str], WordIds] = {}
+_ENCODERS: dict[tuple[str, str], TextIds] = {}
 
 
 def pieces_of(ids: bytes, length: int) -> list[tuple[int, int, int, int]]:
@@ -114,7 +135,7 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, packing: Packing = Pa
 
     def run(texts: list) -> list[pa.Array]:
         if (path, pattern) not in _ENCODERS:
-            _ENCODERS[path, pattern] = WordIds(path, pattern)
+            _ENCODERS[path, pattern] = TextIds(path, pattern)
         encode, end = _ENCODERS[path, pattern].encode, struct.pack("<I", packing.end_id)
         found = [pieces_of(encode(t or "") + end, packing.length) for t in texts]
         edges = np.cumsum([0, *map(len, found)]).astype(np.int32)

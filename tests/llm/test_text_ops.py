@@ -1,5 +1,6 @@
 """Rules, lines, shards, BPE, packing and media: against brute force, libraries, SQL and exact round trips."""
 
+import contextlib
 import hashlib
 import struct
 import zlib
@@ -428,3 +429,37 @@ def test_scratch_tables_go(spark, tmp_path, monkeypatch):
     assert out.count() == 2 and not [p for p in tmp_path.iterdir() if p.name.startswith("runstore-a-")]
     _util.drop(kept, out, spark.read.parquet(f"{DATA}/labels.parquet"))
     assert len(list(tmp_path.iterdir())) == 1 and (DATA / "labels.parquet").exists()
+
+
+TOKENS: dict = {}
+
+
+@given(st.text(st.sampled_from("abé1'st .,;:!?_%&²\n\t\r\x00\x1c\x85\u00a0\u3000\u0301日👍"), max_size=40) | st.text(max_size=60))
+@settings(max_examples=400, deadline=None)
+def test_ids_are_those_of_the_library(text):
+    from tokenizers import Tokenizer
+
+    if not TOKENS:
+        path = public_tokenizers.path("byte_bpe_50k.json")
+        TOKENS["own"], TOKENS["library"] = packing.TextIds(path, public_tokenizers.PATTERN), Tokenizer.from_file(path)
+        assert TOKENS["own"].fast is not None
+    want = TOKENS["library"].encode(text, add_special_tokens=False).ids
+    own, fast = TOKENS["own"], TOKENS["own"].fast
+    assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == want
+    own.fast = None  # for files of another kind
+    try:
+        assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == want
+    finally:
+        own.fast = fast
+
+
+def test_files_of_another_kind_are_left_to_their_model():
+    from tokenizers import Tokenizer, models
+
+    letters = packing.byte_letters()
+    vocabulary = {c: i for i, c in enumerate(letters)} | {"ab": 256, "bc": 257, "abc": 258}
+    for merges, works in (([("a", "b"), ("b", "c"), ("ab", "c")], True), ([("b", "c"), ("a", "b"), ("ab", "c")], False)):
+        model = Tokenizer(models.BPE(vocab=vocabulary, merges=merges)).model
+        described = {"type": "BPE", "vocab": vocabulary, "merges": [" ".join(m) for m in merges]}
+        assert (packing.ranks_of(described, model) is not None) == works
+    assert packing.ranks_of({"type": "BPE", "vocab": vocabulary, "merges": ["a b", "b c", "ab c"], "byte_fallback": True}, model) is None
