@@ -6,6 +6,7 @@ Parquet's own bloom filters do the skipping in runs; this one is for exact contr
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -49,19 +50,25 @@ def fnv1a_32(key: bytes) -> int:
     return h
 
 
-def _bytes(key: Column, start: Column, count: Column) -> Column:
-    """``count`` bytes of a binary column from ``start`` (from 0), as numbers."""
-    return F.when(count > 0, F.transform(F.sequence(start + 1, start + count), lambda i: F.conv(F.hex(F.substring(key, i, F.lit(1))), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+def _bytes(key: Column) -> Column:
+    """The bytes of a binary column, as numbers."""
+    each = lambda i: F.conv(F.hex(F.substring(key, i, F.lit(1))), 16, 10).cast("long")
+    return F.when(F.octet_length(key) > 0, F.transform(F.sequence(F.lit(1), F.octet_length(key)), each)).otherwise(F.array().cast("array<bigint>"))
 
 
 def fnv1a_column(key: Column) -> Column:
     """FNV-1a of a binary column as an expression, without Python."""
     step = lambda h, b: (h.bitwiseXOR(b) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(MASK))
-    return F.aggregate(_bytes(key, F.lit(0), F.octet_length(key)), F.lit(FNV_BASIS).cast("long"), step)
+    return F.aggregate(_bytes(key), F.lit(FNV_BASIS).cast("long"), step)
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that it may name several times but that is computed once: held in an array of one."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _times(a: Column, c: int) -> Column:
-    """A product modulo 2**32 that stays below 2**63 on the way."""
+    """A product modulo 2**32 that stays below 2**63 on the way; ``a`` is named twice."""
     low, high = a.bitwiseAND(F.lit(0xFFFF)) * F.lit(c), F.shiftright(a, 16) * F.lit(c)
     return (low + F.shiftleft(high.bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(MASK))
 
@@ -71,28 +78,36 @@ def _turned(a: Column, bits: int) -> Column:
 
 
 def murmur3_column(key: Column, seed: int = 0) -> Column:
-    """MurmurHash3 (x86, 32 bits) of a binary column as an expression, without Python."""
-    size = F.octet_length(key)
-    whole = F.expr("0") + size - F.pmod(size, F.lit(4))
+    """MurmurHash3 (x86, 32 bits) of a binary column as an expression, without Python.
 
-    def word(at: Column, count: Column) -> Column:  # little-endian
-        return F.aggregate(F.reverse(_bytes(key, at, count)), F.lit(0).cast("long"), lambda x, b: x * F.lit(256) + b)
+    Every step is held by ``_let``: nested instead, each would double the work of the one before.
+    """
+    def word(at: Column, count: Column) -> Column:
+        """Up to four bytes as a little-endian number: one conversion, then a swap of its bytes."""
+        number = F.coalesce(F.conv(F.hex(F.substring(key, at + 1, count)), 16, 10).cast("long"), F.lit(0).cast("long"))
+        byte = lambda w, up: F.shiftleft(F.shiftright(w, up).bitwiseAND(F.lit(0xFF)), 24 - up)
+        return _let(number * F.element_at(F.array(*[F.lit(256 ** (4 - n)) for n in range(5)]), count + 1), lambda w: byte(w, 0) + byte(w, 8) + byte(w, 16) + byte(w, 24))
 
     def mixed(k: Column) -> Column:
-        return _times(_turned(_times(k, C1), 15), C2)
-
-    starts = F.when(whole > 0, F.sequence(F.lit(0), whole - 4, F.lit(4))).otherwise(F.array().cast("array<int>"))
-    h = F.aggregate(starts, F.lit(seed).cast("long"), lambda h, at: (_turned(h.bitwiseXOR(mixed(word(at, F.lit(4)))), 13) * F.lit(5) + F.lit(N)).bitwiseAND(F.lit(MASK)))
-    last = [lambda h: h.bitwiseXOR(mixed(word(whole, size - whole))).bitwiseXOR(size.cast("long"))]
-    last += [lambda h: _times(h.bitwiseXOR(F.shiftright(h, 16)), F1), lambda h: _times(h.bitwiseXOR(F.shiftright(h, 13)), F2), lambda h: h.bitwiseXOR(F.shiftright(h, 16))]
-    for f in last:  # each step names its input several times, so it is held in an array of one
-        h = F.get(F.transform(F.array(h), f), F.lit(0))
-    return h
+        return _let(_let(_let(k, lambda x: _times(x, C1)), lambda x: _turned(x, 15)), lambda x: _times(x, C2))
+
+    def step(h: Column, at: Column) -> Column:
+        return _let(h.bitwiseXOR(mixed(word(at, F.lit(4)))), lambda x: (_turned(x, 13) * F.lit(5) + F.lit(N)).bitwiseAND(F.lit(MASK)))
+
+    size = F.octet_length(key)
+    tail = F.pmod(size, F.lit(4))
+    starts = F.when(size >= 4, F.sequence(F.lit(0), size - tail - 4, F.lit(4))).otherwise(F.array().cast("array<int>"))
+    h = F.aggregate(starts, F.lit(seed).cast("long"), step)
+    h = h.bitwiseXOR(mixed(word(size - tail, tail))).bitwiseXOR(size.cast("long"))
+    h = _let(_let(h, lambda x: x.bitwiseXOR(F.shiftright(x, 16))), lambda x: _times(x, F1))
+    h = _let(_let(h, lambda x: x.bitwiseXOR(F.shiftright(x, 13))), lambda x: _times(x, F2))
+    return _let(h, lambda x: x.bitwiseXOR(F.shiftright(x, 16)))
 
 
 def positions(key: Column, bits: int, hashes: int) -> Column:
     """The bits of a binary key, as an array: h1 + i * h2 modulo the number of bits."""
-    return F.transform(F.array(F.struct(murmur3_column(key).alias("a"), fnv1a_column(key).alias("b"))), lambda h: F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(h["a"] + i.cast("long") * h["b"], F.lit(bits).cast("long"))))[0]
+    both = F.struct(murmur3_column(key).alias("a"), fnv1a_column(key).alias("b"))
+    return _let(both, lambda h: F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(h["a"] + i.cast("long") * h["b"], F.lit(bits).cast("long"))))
 
 
 def build(keys: DataFrame, column: str, bits: int, hashes: int) -> DataFrame:
