@@ -6,7 +6,7 @@ u64 bloom offset, u32 hash count, u32 bit count, u32 bloom bytes. In a run a tom
 0xFF, so that byte cannot be stored as a value there; ``run_bytes`` refuses it.
 
 Readers take any path that Spark reads and parse a file record by record; ``RunFile`` finds a key by bloom filter, index and one
-record. Writers are a data source of their own, which writes a file for each task through ``pyarrow.fs``.
+record. Writers are a data source of their own, which writes files of bounded size for each task through ``pyarrow.fs``.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from ..functions import bloom
 TOMBSTONE_BIT = 0x80000000
 TOMBSTONE_VALUE = b"\xff"
 FOOTER = struct.Struct("<QQIII")
+FILE_BYTES = 64 << 20  # readers take a file at a time, so files are bounded however large a task's share is
 LOG_SCHEMA = "path string, seq long, key binary, value binary, is_tombstone boolean"
 RUN_SCHEMA = "path string, entry long, key binary, value binary, is_tombstone boolean"
 
@@ -186,35 +187,62 @@ def lookup_runs(spark: SparkSession, path: str, keys: list[bytes]) -> DataFrame:
     return _read(spark, path, parse, "path string, key binary, value binary, is_tombstone boolean")
 
 
+def stretches(records: Iterable[tuple[bytes, bytes | None, bool]], most: int) -> Iterator[list]:
+    """Lists of successive records, each of about ``most`` bytes but for the last; a record counts 64 more than it holds."""
+    part, size = [], 0
+    for r in records:
+        part.append(r)
+        size += len(r[0]) + len(r[1] or b"") + 64
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 class _Writer(DataSourceArrowWriter):
-    """Writes a task's rows (key, value, is_tombstone) to one file; the files of a job that fails are deleted."""
+    """Writes a task's rows (key, value, is_tombstone) to files of about ``file_bytes``, in their order.
 
-    def __init__(self, path: str, kind: str):
-        self.path, self.kind = path, kind
+    Tasks write under names with a dot in front, which Spark's readers pass over; the job's commit renames those of the
+    attempts that count. So files of lost or repeated attempts are never read.
+    """
+
+    def __init__(self, path: str, kind: str, file_bytes: int):
+        self.path, self.kind, self.file_bytes = path, kind, file_bytes
 
     def write(self, batches):
         records = ((bytes(k), None if v is None else bytes(v), d) for b in batches for k, v, d in zip(*(c.to_pylist() for c in b.columns), strict=True))
         fs, where = fs_of(self.path)
-        name = f"{where}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.{self.kind}"
         fs.create_dir(where, recursive=True)
-        with fs.open_output_stream(name) as out:
-            for part in log_bytes(records) if self.kind == "log" else [run_bytes(list(records))]:
-                out.write(part)
-        return _Wrote(name)
+        stem, names = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", []
+        for k, part in enumerate(stretches(records, self.file_bytes)):
+            names.append(f"{stem}-{k:06d}.{self.kind}")
+            with fs.open_output_stream(f"{where}/.{names[-1]}") as out:
+                out.write(b"".join(log_bytes(part)) if self.kind == "log" else run_bytes(part))
+        return _Wrote(names)
 
     def commit(self, messages):
-        pass
+        fs, where = fs_of(self.path)
+        fs.create_dir(where, recursive=True)
+        for m in messages:
+            for name in m.names if m is not None else ():
+                fs.move(f"{where}/.{name}", f"{where}/{name}")
 
     def abort(self, messages):
-        fs, _ = fs_of(self.path)
+        """Also after a commit that failed half-way: files go under either name."""
+        from pyarrow.fs import FileType
+
+        fs, where = fs_of(self.path)
         for m in messages:
-            if m is not None:
-                fs.delete_file(m.name)
+            for name in m.names if m is not None else ():
+                for info in fs.get_file_info([f"{where}/.{name}", f"{where}/{name}"]):
+                    if info.type != FileType.NotFound:
+                        fs.delete_file(info.path)
 
 
 @dataclass
 class _Wrote(WriterCommitMessage):
-    name: str
+    names: list[str]
 
 
 class _Source(DataSource):
@@ -228,7 +256,7 @@ class _Source(DataSource):
         return "key binary, value binary, is_tombstone boolean"
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"], self.KIND)
+        return _Writer(self.options["path"], self.KIND, int(self.options["file_bytes"]))
 
 
 class LogSource(_Source):
@@ -245,19 +273,19 @@ def fs_of(path: str):
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def _write(rows: DataFrame, path: str, source: type[_Source]) -> None:
+def _write(rows: DataFrame, path: str, source: type[_Source], file_bytes: int) -> None:
     from ..shipping import ship
 
     ship(rows.sparkSession)
     rows.sparkSession.dataSource.register(source)
-    rows.select(F.col("key").cast("binary"), F.col("value").cast("binary"), "is_tombstone").write.format(source.name()).mode("append").save(path)
+    rows.select(F.col("key").cast("binary"), F.col("value").cast("binary"), "is_tombstone").write.format(source.name()).mode("append").option("file_bytes", str(file_bytes)).save(path)
 
 
-def write_log(ops: DataFrame, path: str, order: str = "seq") -> None:
+def write_log(ops: DataFrame, path: str, order: str = "seq", file_bytes: int = FILE_BYTES) -> None:
     """A change log (``key``, ``value``, ``is_tombstone``) as log files, each a range of ``order`` in its order."""
-    _write(ops.repartitionByRange(order).sortWithinPartitions(order), path, LogSource)
+    _write(ops.repartitionByRange(order).sortWithinPartitions(order), path, LogSource, file_bytes)
 
 
-def write_runs(entries: DataFrame, path: str) -> None:
+def write_runs(entries: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
     """Entries with unique keys as run files, each a range of keys in their order, with index and bloom filter."""
-    _write(entries.withColumn("key", F.col("key").cast("binary")).repartitionByRange("key").sortWithinPartitions("key"), path, RunSource)
+    _write(entries.withColumn("key", F.col("key").cast("binary")).repartitionByRange("key").sortWithinPartitions("key"), path, RunSource, file_bytes)

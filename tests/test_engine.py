@@ -331,6 +331,34 @@ def test_binary_sinks_and_lookups(spark, tmp_path):
             formats.RunFile(broken)
 
 
+def test_binary_sinks_bound_their_files_and_hide_unfinished_ones(spark, tmp_path):
+    log = ops(spark, [(f"k{i:03d}", None if i % 5 == 0 else f"v{i}") for i in range(200)])
+    formats.write_log(log, str(tmp_path / "log"), file_bytes=500)
+    formats.write_runs(resolve.latest_per_key(log), str(tmp_path / "run"), file_bytes=500)
+    for kind, read, at in (("log", formats.read_log, "seq"), ("run", formats.read_runs, "entry")):
+        files = sorted((tmp_path / kind).iterdir())
+        assert len(files) >= 20 and all(p.suffix == f".{kind}" and not p.name.startswith(".") for p in files)
+        (tmp_path / kind / f".part-000000-lost-000000.{kind}").write_bytes(files[0].read_bytes()[:-3])  # of an attempt that was lost
+        rows = sorted(read(spark, str(tmp_path / kind)).collect(), key=lambda r: (r["path"], r[at]))
+        assert [bytes(r["key"]).decode() for r in rows] == [f"k{i:03d}" for i in range(200)]
+    empty = spark.createDataFrame([], "seq long, key string, value string, is_tombstone boolean")
+    formats.write_log(empty, str(tmp_path / "none"))
+    assert formats.read_log(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_binary_sinks_clear_up_after_failures(spark, tmp_path):
+    where = tmp_path / "runs"
+    bad = spark.createDataFrame([(bytearray(b"a"), bytearray(b"1"), False), (bytearray(b"z"), bytearray(b"\xff"), False)], "key binary, value binary, is_tombstone boolean")
+    with pytest.raises(Exception, match="cannot hold"):
+        formats.write_runs(bad, str(where), file_bytes=1)
+    assert not where.exists() or not [p for p in where.iterdir() if not p.name.startswith(".")]
+    writer = formats._Writer(str(tmp_path), "log", 1)
+    (tmp_path / ".one.log").write_bytes(b"")
+    (tmp_path / "two.log").write_bytes(b"")  # renamed before the commit failed
+    writer.abort([formats._Wrote(["one.log", "two.log"]), None])
+    assert not list(tmp_path.glob("*.log")) and not list(tmp_path.glob(".*.log"))
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_any_layout_gives_the_same_snapshot(spark, tmp_path, seed):
     rng, model = random.Random(seed), {}
