@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
+#: The folders' names of tables made by ``save``: no other folder is ever deleted.
+_SAVED: set[str] = set()
 #: Held while a table is saved, and no longer. Both the JVM and a Python worker hold a few Arrow batches at once, outside
 #: the JVM's heap; and a finished write needs its shuffle files no more.
 _WHILE_SAVING = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
@@ -60,6 +62,7 @@ def save(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/runstore-{name}-{uuid.uuid4().hex}"
+    _SAVED.add(path.rpartition("/")[2])
     if (scope := _SCOPE.get()) is not None and not stays:
         scope.append((spark, path))
     with settings(spark, _WHILE_SAVING):
@@ -81,15 +84,16 @@ def scratch():
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    _SAVED.discard(path.rpartition("/")[2])
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete the files of tables made by ``save`` that no later plan reads."""
+    """Delete the files of tables made by ``save`` that no later plan reads; other tables stay, wherever they are."""
     for df in tables:
         for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/runstore-" in root:
+            if root.rpartition("/")[2] in _SAVED:
                 _delete(df.sparkSession, root)
 
 

@@ -529,3 +529,16 @@ def test_pipeline_takes_nulls_no_rows_and_clashing_names(spark, small, tmp_path)
         spark.read.parquet(f"{small}/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
         found[name] = sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect())
     assert found["whole"] and found["whole"] == found["clash"] == found["odd"] and not found["empty"]
+
+
+def test_pipeline_leaves_its_input_alone_wherever_it_is(spark, small, tmp_path):
+    """A folder that is named like scratch tables is none: its documents are read again by the second stage."""
+    import corpus_pipeline
+
+    rows = {}
+    for name in ("plain", "runstore-data"):
+        for t in ("documents", "labels"):
+            spark.read.parquet(f"{small}/{t}.parquet").write.parquet(f"{tmp_path}/{name}/{t}.parquet")
+        rows[name] = sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect())
+        assert spark.read.parquet(f"{tmp_path}/{name}/documents.parquet").count() == spark.read.parquet(f"{small}/documents.parquet").count()
+    assert rows["plain"] and rows["plain"] == rows["runstore-data"]
